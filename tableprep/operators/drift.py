@@ -130,7 +130,10 @@ def row_overlap(train: DataFrame, test: DataFrame) -> DataFrame:
     train, test = nan_to_null(train), nan_to_null(test)
     columns = common_columns(train, test)
     if not columns:
-        return test.agg(F.lit(0).cast("bigint").alias("overlap_count"), F.lit(0.0).alias("overlap_rate"))
+        rows = train.select(F.lit(1).alias("train_n"), F.lit(0).alias("test_n")).unionAll(
+            test.select(F.lit(0).alias("train_n"), F.lit(1).alias("test_n"))
+        )
+        return rows.agg(*_overlap(F.lit(0).cast("bigint")))
     kinds = families(train), families(test)
     differing = frozenset(n for n in columns if kinds[0][n] != kinds[1][n])
     sides = [df.select(F.lit(side).alias("side"), *row_keys(df, columns, differing)) for df, side in ((train, 0), (test, 1))]
@@ -138,10 +141,17 @@ def row_overlap(train: DataFrame, test: DataFrame) -> DataFrame:
     rows = sides[0].union(sides[1]).groupBy(*keys).agg(
         count_if(F.col("side") == 0).alias("train_n"), count_if(F.col("side") == 1).alias("test_n")
     )
-    shared = F.coalesce(F.sum(F.when(F.col("train_n") > 0, F.col("test_n"))), F.lit(0))
-    return rows.agg(shared.alias("overlap_count"), F.sum("test_n").alias("test_rows")).select(
-        "overlap_count", (F.col("overlap_count") / F.greatest(F.coalesce("test_rows", F.lit(0)), F.lit(1))).alias("overlap_rate")
-    )
+    return rows.agg(*_overlap(F.coalesce(F.sum(F.when(F.col("train_n") > 0, F.col("test_n"))), F.lit(0))))
+
+
+def _overlap(shared: Column) -> list[Column]:
+    test_rows = F.coalesce(F.sum("test_n"), F.lit(0))
+    return [
+        shared.alias("overlap_count"),
+        (shared / F.greatest(test_rows, F.lit(1))).alias("overlap_rate"),
+        F.coalesce(F.sum("train_n"), F.lit(0)).alias("train_rows"),
+        test_rows.alias("test_rows"),
+    ]
 
 
 @dataclass
@@ -184,10 +194,9 @@ def compare_tables(
     overlap = row_overlap(train, test).first()
     flagged = sum(bool(found[n]["drift_flag"]) for n in found)
     points = flagged + bool(shift and shift["drift_flag"]) + (overlap["overlap_rate"] > 0)
-    counts = train.count(), test.count()
     summary = spark.createDataFrame(
         [(
-            min(100.0, 100.0 * points / max(len(common), 1)), counts[0], counts[1], len(visible(train)),
+            min(100.0, 100.0 * points / max(len(common), 1)), overlap["train_rows"], overlap["test_rows"], len(visible(train)),
             len(visible(test)), missing, extra, flagged,
             sum(found[n]["status"] == "insufficient_data" for n in found), len(missing) + len(extra),
             shift["max_class_rate_delta"] if shift else None, overlap["overlap_count"], overlap["overlap_rate"],
