@@ -1,0 +1,6 @@
+"""Registered queries: importing the package fills the registry."""
+
+from workload.registry import ORACLES, QUERIES
+from workload import analysis_queries  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]
