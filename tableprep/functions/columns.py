@@ -66,7 +66,9 @@ def order_keys(df: DataFrame) -> list[Column]:
     """Row-order key of a frame; all data columns when none was attached."""
     if ROW_ORDER in df.columns:
         return [F.col(ROW_ORDER)]
-    return [col(n) for n, fam in families(df).items() if fam != "other" and not n.startswith(HIDDEN_PREFIX)]
+    kinds = families(df)
+    plain = [col(n) for n in visible(df) if kinds[n] != "other"]
+    return plain or [F.to_json(F.struct(col(n))) for n in visible(df)]
 
 
 def count_if(condition: Column) -> Column:
@@ -81,9 +83,9 @@ def head_in_order(df: DataFrame, limit: int) -> DataFrame:
     """
     dtype = df.schema[ROW_ORDER].dataType if ROW_ORDER in df.columns else None
     if isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        nulls_first = df.filter(F.col(ROW_ORDER).isNull()).limit(1).count() > 0
-        if not nulls_first:
-            cut = df.select(ROW_ORDER).orderBy(ROW_ORDER).limit(limit).agg(F.max(ROW_ORDER)).first()[0]
-            if cut is not None:
-                df = df.filter(F.col(ROW_ORDER) <= F.lit(cut))
+        # Missing keys sort first, so a smallest key that is missing rules the cut-off out.
+        keys = df.select(ROW_ORDER).orderBy(ROW_ORDER).limit(limit)
+        cut, missing = keys.agg(F.max(ROW_ORDER), count_if(F.col(ROW_ORDER).isNull())).first()
+        if cut is not None and not missing:
+            df = df.filter(F.col(ROW_ORDER) <= F.lit(cut))
     return df.orderBy(*order_keys(df)).limit(limit)

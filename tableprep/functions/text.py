@@ -44,6 +44,21 @@ DATE_SHAPES = [
     (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
     (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
 ]
+# The same dates in fewer shapes, for columns whose first value fixes no format.
+ANY_DATE_SHAPES = [
+    (
+        r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$",
+        "yyyy-M-d[[ ]['T']H:mm[:ss][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]]",
+    ),
+    (r"^\d{4}/\d{1,2}/\d{1,2}(?: \d{1,2}:\d{2}:\d{2})?$", "yyyy/M/d[ H:mm:ss]"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}(?: \d{1,2}:\d{2}(?::\d{2})?)?$", "M/d/yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", "[MMMM][MMM] d, yyyy"),
+    (r"^\d{1,2}[ -][A-Za-z]{3,9}[ -]\d{4}$", "d[ ][-][MMMM][MMM][ ][-]yyyy"),
+]
 SHORTEST_DATE, LONGEST_DATE = 8, 32
 DATE_START = r"^(?:\d{1,4}[-/. ]|[A-Za-z]{3,9} \d)"
 # Strftime directives and their Spark letters.
@@ -164,7 +179,7 @@ def to_time(c: Column, dtype: T.DataType, shape: int | None = None, fmt: str | N
         return F.lit(None).cast("timestamp_ntz")
     if fmt is not None:
         return F.try_to_timestamp(c, F.lit(spark_date_format(fmt))).cast("timestamp_ntz")
-    return _parse(c, DATE_SHAPES if shape is None else [DATE_SHAPES[shape]])
+    return _parse(c, ANY_DATE_SHAPES if shape is None else [DATE_SHAPES[shape]])
 
 
 def iso_time(c: Column) -> Column:

@@ -12,6 +12,7 @@ from tableprep.functions.keys import row_keys
 from tableprep.functions.text import text_of, to_number
 from tableprep.operators.issues import DRIFT, OVERLAP, SCHEMA, TARGET_SHIFT, issue, issues_from
 from tableprep.plans.freq import value_frequencies
+from tableprep.plans.jobs import side_by_side
 
 SHOWN_UNSEEN = 25
 COLUMNS_PER_JOB = 20
@@ -175,11 +176,17 @@ def compare_tables(
     category = [n for n in compared if types[n]["inferred_type"] in ("categorical", "boolean", "text")]
 
     # One row per column (and at most 25 shown categories each): small enough to keep as a local table.
-    found = {}
-    if numeric:
-        found |= {r["column_name"]: r.asDict() for r in numeric_shift(train, test, numeric).collect()}
+    has_target = target in common
+    shifts, unseen, shift, overlap = side_by_side(
+        spark,
+        lambda: numeric_shift(train, test, numeric).collect() if numeric else [],
+        lambda: category_shift(train, test, category).collect() if category else [],
+        lambda: target_shift(train, test, target).first() if has_target else None,
+        lambda: row_overlap(train, test).first(),
+    )
+    found = {r["column_name"]: r.asDict() for r in shifts}
     if category:
-        found |= {r["column_name"]: {"status": "compared", **r.asDict()} for r in category_shift(train, test, category).collect()}
+        found |= {r["column_name"]: {"status": "compared", **r.asDict()} for r in unseen}
         blank = {"status": "compared", "train_unique": 0, "test_unique": 0, "unseen_categories": [],
                  "unseen_category_count": 0, "unseen_row_rate": 0.0, "drift_flag": False}
         found |= {n: blank for n in category if n not in found}
@@ -189,9 +196,6 @@ def compare_tables(
     ]
     columns = spark.createDataFrame(rows, _DRIFT_COLUMNS)
 
-    has_target = target in common
-    shift = target_shift(train, test, target).first() if has_target else None
-    overlap = row_overlap(train, test).first()
     flagged = sum(bool(found[n]["drift_flag"]) for n in found)
     points = flagged + bool(shift and shift["drift_flag"]) + (overlap["overlap_rate"] > 0)
     summary = spark.createDataFrame(

@@ -21,6 +21,7 @@ from tableprep.functions.text import (
     guess_date_shape, is_one_of, iso_time, strip, text_of, to_number, to_time, word_count,
 )
 from tableprep.plans.freq import most_frequent, top_values, value_frequencies
+from tableprep.plans.jobs import side_by_side
 from tableprep.plans.quantiles import exact_quantiles
 
 SAMPLE_VALUES = 5
@@ -177,39 +178,41 @@ def corrected_skewness(squares: float, cubes: float, n: int) -> float:
 # --- pass 2: distinct and top values ------------------------------------------------------------
 
 
-def _value_statistics(
-    df: DataFrame, ranked: list[str], counted: list[str], long_text: list[str], present: dict[str, int]
-) -> tuple[dict[str, dict[str, Any]], dict[str, list[dict[str, Any]]]]:
-    """Distinct counts for all columns, and top/rare/dominant values for ``ranked`` ones."""
-    stats: dict[str, dict[str, Any]] = {}
-    tops: dict[str, list[dict[str, Any]]] = {n: [] for n in ranked}
-    if ranked:
-        freq = value_frequencies(df, ranked)
-        limits = [x for n in ranked for x in (F.lit(n), F.lit(max(1, math.floor(present[n] * 0.01))))]
-        rare = F.col("n") <= F.create_map(*limits)[F.col("column_name")]
-        whole = freq.groupBy("column_name").agg(
-            F.count(F.lit(1)).alias("unique"),
-            count_if(rare).alias("rare"),
-            F.min(most_frequent()).alias("first"),
-            F.max(most_frequent()).alias("last"),
-        )
-        top = top_values(freq, TOP_VALUES).groupBy("column_name").agg(
-            F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top")
-        )
-        for r in whole.join(top, "column_name").collect():
-            stats[r["column_name"]] = {
-                "unique": r["unique"],
-                "rare": r["rare"],
-                "dominant": (r["first"]["value"], -r["first"]["neg_n"]),
-                "scarcest": (r["last"]["value"], -r["last"]["neg_n"]),
-            }
-            tops[r["column_name"]] = [{"value": t["value"], "count": t["n"]} for t in r["top"]]
-    if counted:
-        distinct = value_frequencies(df, counted, digest=long_text).groupBy("column_name").agg(
-            F.count(F.lit(1)).alias("unique")
-        )
-        stats.update({r["column_name"]: {"unique": r["unique"]} for r in distinct.collect()})
-    return stats, tops
+def _ranked_values(df: DataFrame, columns: list[str], present: dict[str, int]) -> dict[str, dict[str, Any]]:
+    """Distinct count and top, rare, dominant and scarcest values of category-like columns."""
+    if not columns:
+        return {}
+    freq = value_frequencies(df, columns)
+    limits = [x for n in columns for x in (F.lit(n), F.lit(max(1, math.floor(present[n] * 0.01))))]
+    rare = F.col("n") <= F.create_map(*limits)[F.col("column_name")]
+    whole = freq.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("unique"),
+        count_if(rare).alias("rare"),
+        F.min(most_frequent()).alias("first"),
+        F.max(most_frequent()).alias("last"),
+    )
+    top = top_values(freq, TOP_VALUES).groupBy("column_name").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top")
+    )
+    return {
+        r["column_name"]: {
+            "unique": r["unique"],
+            "rare": r["rare"],
+            "dominant": (r["first"]["value"], -r["first"]["neg_n"]),
+            "scarcest": (r["last"]["value"], -r["last"]["neg_n"]),
+            "top": [{"value": t["value"], "count": t["n"]} for t in r["top"]],
+        }
+        for r in whole.join(top, "column_name").collect()
+    }
+
+
+def _distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[str, Any]]:
+    """Distinct count only; texts are counted by digest."""
+    if not columns:
+        return {}
+    texts = [n for n in columns if families(df)[n] == "text"]
+    distinct = value_frequencies(df, columns, digest=texts).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique"))
+    return {r["column_name"]: {"unique": r["unique"]} for r in distinct.collect()}
 
 
 # --- types --------------------------------------------------------------------------------------
@@ -254,36 +257,41 @@ def profile_records(
     columns, kinds = visible(df), families(df)
     samples = sample_values(df)
     shapes = date_shapes(df, samples)
-    first = _first_pass(df, columns, shapes)
+    numbers = [n for n in columns if kinds[n] in ("long", "double", "decimal")]
+    by_class = target if problem_type == "classification" else None
+    asked = {n for n in columns if overrides.get(n) in ("categorical", "boolean") or n == by_class}
+    plain = [n for n in columns if n not in asked and (n in numbers or kinds[n] == "time")]
+    first, values = side_by_side(
+        df.sparkSession, lambda: _first_pass(df, columns, shapes), lambda: _distinct_counts(df, plain)
+    )
     present = {n: first[n]["present"] for n in columns}
 
-    def wants_values(name: str) -> bool:
-        if overrides.get(name) in ("categorical", "boolean") or (name == target and problem_type == "classification"):
-            return True
-        if kinds[name] in ("long", "double", "decimal"):
-            return False
-        if kinds[name] == "text":
-            return (first[name]["total_length"] or 0) < 40 * max(present[name], 1)
-        return kinds[name] == "bool"
-
-    ranked = [n for n in columns if present[n] and wants_values(n)]
-    counted = [n for n in columns if present[n] and n not in ranked and kinds[n] != "other"]
-    long_text = [n for n in counted if kinds[n] == "text"]
-    values, tops = _value_statistics(df, ranked, counted, long_text, present)
-    # Numeric columns that turn out to be categories have few values: ranking them is cheap.
-    few = [
-        n for n in counted
-        if kinds[n] in ("long", "double", "decimal") and n not in overrides
-        and infer_type(kinds[n], first[n], values.get(n, {}).get("unique", 0), n == target) == "categorical"
+    def inferred(name: str) -> str:
+        return overrides.get(name) or infer_type(kinds[name], first[name], values.get(name, {}).get("unique", 0), name == target)
+
+    # Texts of 40 characters on average are free text whatever their distinct count.
+    long_text = [
+        n for n in columns
+        if kinds[n] == "text" and n not in asked and (first[n]["total_length"] or 0) >= 40 * max(present[n], 1)
+    ]
+    few = [n for n in plain if n in numbers and inferred(n) == "categorical"]
+    ranked = [
+        n for n in columns
+        if present[n] and n not in long_text and (n in asked or n in few or kinds[n] in ("text", "bool"))
     ]
-    more, more_tops = _value_statistics(df, few, [], [], present)
-    values, tops = values | more, tops | more_tops
+    measured = [n for n in plain if n in numbers and n not in few and inferred(n) == "numeric"]
+    more, counted, quartiles = side_by_side(
+        df.sparkSession,
+        lambda: _ranked_values(df, ranked, present),
+        lambda: _distinct_counts(df, [n for n in long_text if present[n]]),
+        lambda: _quartiles(df, measured, first),
+    )
+    values = values | more | counted
 
     records = []
     for ordinal, name in enumerate(columns):
         stats, unique = first[name], values.get(name, {}).get("unique", 0)
         rows = stats["rows"]
-        inferred = overrides.get(name) or infer_type(kinds[name], stats, unique, name == target)
         missing = rows - present[name]
         warnings = []
         if missing:
@@ -298,7 +306,7 @@ def profile_records(
                 "ordinal": ordinal,
                 "column_name": name,
                 "storage": kinds[name],
-                "inferred_type": inferred,
+                "inferred_type": inferred(name),
                 "row_count": rows,
                 "missing_count": missing,
                 "missing_rate": missing / max(rows, 1),
@@ -311,10 +319,17 @@ def profile_records(
                 "has_leading_zero": bool(stats.get("leading_zero", False)),
             }
         )
-    _add_summaries(df, records, first, values, tops, shapes, problem_type)
+    _add_summaries(df, records, first, values, quartiles, shapes, problem_type)
     return records
 
 
+def _quartiles(df: DataFrame, columns: list[str], first: dict[str, dict[str, Any]]) -> dict[str, list[float | None]]:
+    kinds = families(df)
+    counts = {n: first[n].get("numbers", 0) for n in columns}
+    wanted = {n: (to_number(col(n), kinds[n]), [0.25, 0.5, 0.75]) for n in columns if counts[n]}
+    return exact_quantiles(df, wanted, counts=counts)
+
+
 def _summary_kind(record: dict[str, Any], problem_type: str) -> str:
     if record["is_target"] and problem_type == "classification":
         return "class"
@@ -322,16 +337,13 @@ def _summary_kind(record: dict[str, Any], problem_type: str) -> str:
     return "categorical" if kind == "boolean" else kind
 
 
-def _add_summaries(df, records, first, values, tops, shapes, problem_type) -> None:
+def _add_summaries(df, records, first, values, quartiles, shapes, problem_type) -> None:
     """Fill the type-dependent part of each record; one more pass for what types asked for."""
     kinds = families(df)
     wanted = {r["column_name"]: _summary_kind(r, problem_type) for r in records}
     numbers = {n: to_number(col(n), kinds[n]) for n, kind in wanted.items() if kind == "numeric"}
     counts = {n: first[n].get("numbers", 0) for n in numbers}
-    quartiles = exact_quantiles(
-        df, {n: (x, [0.25, 0.5, 0.75]) for n, x in numbers.items() if counts[n]}, counts=counts
-    )
-
+    quartiles = quartiles | _quartiles(df, [n for n in numbers if n not in quartiles], first)
     means = {n: first[n].get("mean") for n in numbers}
     parsed = {n: {"mean": F.avg(x)} for n, x in numbers.items() if counts[n] and kinds[n] == "text"}
     means |= {n: found["mean"] for n, found in column_aggregates(df, parsed).items()}
@@ -367,7 +379,7 @@ def _add_summaries(df, records, first, values, tops, shapes, problem_type) -> No
         if kind == "numeric":
             r.update(_numeric_summary({**first[name], **extra}, counts[name], quartiles.get(name)))
         elif kind == "categorical":
-            r.update(_categorical_summary(values.get(name), tops.get(name, []), present, r["cardinality_ratio"]))
+            r.update(_categorical_summary(values.get(name), present, r["cardinality_ratio"]))
         elif kind == "class":
             r.update(_class_summary(values.get(name), present))
         elif kind == "datetime":
@@ -411,12 +423,12 @@ def _numeric_summary(stats: dict[str, Any], n: int, quartiles: list[float] | Non
     }
 
 
-def _categorical_summary(values, top, present: int, ratio: float) -> dict[str, Any]:
+def _categorical_summary(values, present: int, ratio: float) -> dict[str, Any]:
     unique = values["unique"] if values else 0
     dominant, dominant_count = values["dominant"] if values else (None, 0)
     return {
         "count": present,
-        "top_values": top,
+        "top_values": values["top"] if values else [],
         "rare_value_count": values["rare"] if values else 0,
         "rare_value_rate": values["rare"] / unique if unique else 0.0,
         "dominant_value": dominant,

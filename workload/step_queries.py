@@ -73,7 +73,7 @@ def _dedupe_whole(spark, folder):
     return flat(Pipeline([Step("remove_duplicate_rows")]).fit_transform(lines)[1])
 
 
-register("dedupe_whole_rows", _dedupe_whole, "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_linenumber FROM lineitem")
+register("dedupe_whole_rows", _dedupe_whole, "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_linenumber::BIGINT AS l_linenumber FROM lineitem")
 
 
 def _dedupe_texts(spark, folder):
