@@ -75,17 +75,32 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
+def local_table(*parts: DataFrame) -> DataFrame:
+    """Small result frames (one row per column or issue) computed once and kept as a local table."""
+    import pyarrow as pa
+
+    from tableprep.plans.jobs import side_by_side
+
+    spark = parts[0].sparkSession
+    tables = side_by_side(spark, *[part.toArrow for part in parts])
+    # One chunk: rows after an empty chunk are lost when a chunked table becomes a DataFrame.
+    return spark.createDataFrame(pa.concat_tables(tables, promote_options="permissive").combine_chunks())
+
+
 def head_in_order(df: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` rows in row order.
 
-    With a single orderable key the cut-off key is found from the key column
-    alone, so the wide columns are read only for row groups below the cut-off.
+    The cut-off of the leading key is found from that one column, so the wide
+    columns are read only for the row groups at or below the cut-off.
     """
-    dtype = df.schema[ROW_ORDER].dataType if ROW_ORDER in df.columns else None
-    if isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+    kinds = families(df)
+    lead = ROW_ORDER if ROW_ORDER in df.columns else next((n for n in visible(df) if kinds[n] != "other"), None)
+    if lead is not None and kinds[lead] in ("long", "double", "decimal", "time", "text"):
         # Missing keys sort first, so a smallest key that is missing rules the cut-off out.
-        keys = df.select(ROW_ORDER).orderBy(ROW_ORDER).limit(limit)
-        cut, missing = keys.agg(F.max(ROW_ORDER), count_if(F.col(ROW_ORDER).isNull())).first()
+        keys = df.select(col(lead).alias("key")).orderBy("key").limit(limit)
+        cut, missing = keys.agg(F.max("key"), count_if(F.col("key").isNull())).first()
         if cut is not None and not missing:
-            df = df.filter(F.col(ROW_ORDER) <= F.lit(cut))
+            df = df.filter(col(lead) <= F.lit(cut))
     return df.orderBy(*order_keys(df)).limit(limit)
+
+

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprep.functions.columns import col, count_if, nan_to_null, visible
+from tableprep.functions.columns import col, count_if, local_table, nan_to_null, visible
 from tableprep.functions.keys import row_keys
 from tableprep.functions.rules import LEAKAGE_TERMS, SEVERITY_PENALTY, SEVERITY_RANK
 from tableprep.functions.text import percent
@@ -183,15 +183,12 @@ def detect_issues(
 ) -> DataFrame:
     """All issues of a table; ``issue_id`` sorts them in rule order."""
     per_column = _constant_rules() + _cardinality_rules() + _id_rules() + _outlier_rules()
-    parts = [
-        missingness_issues(profiles), issues_from(profiles, per_column),
-        duplicate_issues(df, role), placeholder_issues(profiles),
-    ]
-    if target in visible(df):
-        parts.append(leakage_issues(profiles, target))
-        if problem_type == "classification":
-            parts.append(imbalance_issues(df, target, role))
-    return reduce(DataFrame.unionByName, parts)
+    known = target in visible(df)
+    rules = [missingness_issues(profiles), issues_from(profiles, per_column), placeholder_issues(profiles)]
+    rules += [leakage_issues(profiles, target)] if known else []
+    parts = [reduce(DataFrame.unionByName, rules), duplicate_issues(df, role)]
+    parts += [imbalance_issues(df, target, role)] if known and problem_type == "classification" else []
+    return local_table(*parts)
 
 
 def readiness_score(issues: DataFrame, default_score: float = 100.0) -> DataFrame:

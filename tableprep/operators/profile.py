@@ -284,7 +284,7 @@ def profile_records(
         df.sparkSession,
         lambda: _ranked_values(df, ranked, present),
         lambda: _distinct_counts(df, [n for n in long_text if present[n]]),
-        lambda: _quartiles(df, measured, first),
+        lambda: _quartiles(df, measured, first, values),
     )
     values = values | more | counted
 
@@ -323,11 +323,12 @@ def profile_records(
     return records
 
 
-def _quartiles(df: DataFrame, columns: list[str], first: dict[str, dict[str, Any]]) -> dict[str, list[float | None]]:
+def _quartiles(df: DataFrame, columns: list[str], first: dict[str, Any], values: dict[str, Any]) -> dict[str, list]:
     kinds = families(df)
     counts = {n: first[n].get("numbers", 0) for n in columns}
     wanted = {n: (to_number(col(n), kinds[n]), [0.25, 0.5, 0.75]) for n in columns if counts[n]}
-    return exact_quantiles(df, wanted, counts=counts)
+    uniques = {n: values[n]["unique"] for n in wanted if n in values}
+    return exact_quantiles(df, wanted, counts=counts, uniques=uniques)
 
 
 def _summary_kind(record: dict[str, Any], problem_type: str) -> str:
@@ -343,7 +344,7 @@ def _add_summaries(df, records, first, values, quartiles, shapes, problem_type)
     wanted = {r["column_name"]: _summary_kind(r, problem_type) for r in records}
     numbers = {n: to_number(col(n), kinds[n]) for n, kind in wanted.items() if kind == "numeric"}
     counts = {n: first[n].get("numbers", 0) for n in numbers}
-    quartiles = quartiles | _quartiles(df, [n for n in numbers if n not in quartiles], first)
+    quartiles = quartiles | _quartiles(df, [n for n in numbers if n not in quartiles], first, values)
     means = {n: first[n].get("mean") for n in numbers}
     parsed = {n: {"mean": F.avg(x)} for n, x in numbers.items() if counts[n] and kinds[n] == "text"}
     means |= {n: found["mean"] for n, found in column_aggregates(df, parsed).items()}

@@ -1,6 +1,7 @@
 """Exact, linearly interpolated quantiles without a one-task value map.
 
-Small columns use the built-in exact aggregate. Larger ones are narrowed first:
+Small columns use the built-in exact aggregate, and columns with few distinct
+values use it on their value counts. The others are narrowed first:
 a quantile sketch gives a bracket of values around each rank, one counting pass
 proves that the rank lies inside, and only the values in the bracket are
 grouped. Sketch and counts are map-side aggregates, so no pass shuffles the
@@ -67,11 +68,16 @@ def exact_quantiles(
     requests: dict[str, tuple[Column, list[float]]],
     *,
     counts: dict[str, int] | None = None,
+    uniques: dict[str, int] | None = None,
     direct_rows: int = DIRECT_ROWS,
     bracket_values: int = BRACKET_VALUES,
     accuracy: int = ACCURACY,
 ) -> dict[str, list[float | None]]:
-    """Quantiles of each requested double expression; None for empty columns."""
+    """Quantiles of each requested double expression; None for empty columns.
+
+    ``counts`` and ``uniques`` are known numbers of values and of distinct
+    values per request, where the caller has them.
+    """
     if not requests:
         return {}
     if counts is None:
@@ -85,6 +91,10 @@ def exact_quantiles(
         result.update({key: list(found) for key, found in zip(direct, values)})
 
     large = [key for key in requests if counts[key] > direct_rows]
+    few = [key for key in large if (uniques or {}).get(key, bracket_values) < bracket_values]
+    if few:
+        result.update(_from_value_counts(df, {key: requests[key] for key in few}))
+        large = [key for key in large if key not in few]
     if large:
         brackets = _sketch(df, requests, counts, large, accuracy)
         _narrow(df, brackets, bracket_values, accuracy)
@@ -100,6 +110,17 @@ def exact_quantiles(
     return result
 
 
+def _from_value_counts(df: DataFrame, requests: dict[str, tuple[Column, list[float]]]) -> dict[str, list[float]]:
+    """Exact quantiles over (value, count) rows; counts are pre-aggregated in each task."""
+    names = {f"q{i}": key for i, key in enumerate(requests)}
+    flat = df.select(*[requests[key][0].alias(name) for name, key in names.items()])
+    tall = flat.unpivot([], list(names), "name", "value").filter("value IS NOT NULL")
+    counted = tall.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    probs = sorted({p for _, wanted in requests.values() for p in wanted})
+    rows = counted.groupBy("name").agg(F.percentile("value", F.array(*map(F.lit, probs)), F.col("n")).alias("q")).collect()
+    return {names[r["name"]]: [r["q"][probs.index(p)] for p in requests[names[r["name"]]][1]] for r in rows}
+
+
 def _sketch(df, requests, counts, large, accuracy) -> list[_Bracket]:
     aggs = []
     for key in large:

@@ -31,6 +31,7 @@ def test_bracketing_agrees_with_sorting(spark):
     for values in (spread, tied, [5.0] * 50, [1.0, 2.0]):
         check(spark, values)
         check(spark, values, direct_rows=1, bracket_values=20, accuracy=50)
+        check(spark, values, direct_rows=1, uniques={"x": len(set(values))})
 
 
 def test_inexact_sketch_is_widened(spark):

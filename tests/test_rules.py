@@ -88,3 +88,10 @@ def test_column_charts(dirty):
     p = profile_table(dirty)
     city = {r["label"]: r["value"] for r in charts.missing_vs_present(p.filter(F.col("column_name") == "city")).collect()}
     assert city == {"missing": 0, "present": 5}
+
+
+def test_every_rule_keeps_its_rows_beside_empty_ones(spark):
+    """No duplicates between column issues and an imbalanced target: all of them are reported."""
+    df = spark.createDataFrame([(float(i), "rare" if i == 0 else "often") for i in range(30)], "x double, label string")
+    issues = detect_issues(df, profile_table(df, target="label", problem_type="classification"), "label", "classification")
+    assert {r["title"] for r in issues.collect()} == {"Possible ID-like column x", "Imbalanced target"}
