@@ -215,7 +215,7 @@ def compare_tables(
 
 
 def drift_issues(columns: DataFrame, summary: DataFrame, target: str | None) -> DataFrame:
-    """Issues raised by a comparison, after those of the tables themselves."""
+    """Issues raised by a comparison, after those of the tables themselves (texts are fixed values)."""
     columns, summary = (d.withColumn("dataset_role", F.lit("test")) for d in (columns, summary))
     name, is_number = F.col("column_name"), F.col("inferred_type") == "numeric"
     numeric = issue(

@@ -1,4 +1,7 @@
-"""Issue rules over profiles and tables, and the readiness score."""
+"""Issue rules over profiles and tables, and the readiness score.
+
+Thresholds, titles, explanations and suggested actions are fixed values.
+"""
 
 from __future__ import annotations
 

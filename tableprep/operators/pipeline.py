@@ -63,27 +63,26 @@ class Pipeline:
         entries = config.get("steps")
         if not isinstance(entries, list) or not entries:
             raise PrepError("Config must contain at least one step")
-        steps = []
-        for i, entry in enumerate(entries):
-            where = f"onfig step {i + 1}"
-            if not isinstance(entry, dict):
-                raise PrepError(f"C{where} must be an object")
-            operation = entry.get("operation_type")
-            if not isinstance(operation, str) or not operation:
-                raise PrepError(f"C{where} is missing operation_type")
-            if operation not in OPERATIONS:
-                raise PrepError(f"Unsupported operation in c{where}: {operation}")
-            columns, params = entry.get("columns", []), entry.get("params", {})
-            if not isinstance(columns, list):
-                raise PrepError(f"C{where} columns must be a list")
-            if not isinstance(params, dict):
-                raise PrepError(f"C{where} params must be an object")
-            steps.append(Step(operation, [str(c) for c in columns], params, order_index=i))
+        steps = [cls._step(entry, i) for i, entry in enumerate(entries)]
         metadata = config.get("metadata")
         saved = metadata.get("pipeline_name") if isinstance(metadata, dict) else None
         named = saved if isinstance(saved, str) and saved.strip() else "Imported preprocessing config"
         return cls(steps, name or named, mode)
 
+    @staticmethod
+    def _step(entry: Any, index: int) -> Step:
+        def need(holds: bool, problem: str) -> None:
+            if not holds:
+                raise PrepError(f"Step {index + 1} of the config: {problem}")
+
+        need(isinstance(entry, dict), "must be an object")
+        operation, columns, params = (entry.get(k, d) for k, d in (("operation_type", None), ("columns", []), ("params", {})))
+        need(isinstance(operation, str) and operation != "", "missing operation_type")
+        need(operation in OPERATIONS, f"unsupported operation {operation}")
+        need(isinstance(columns, list), "columns must be a list")
+        need(isinstance(params, dict), "params must be an object")
+        return Step(operation, [str(c) for c in columns], params, order_index=index)
+
     def fit(self, df: DataFrame) -> FittedPipeline:
         """Learn every step from ``df`` alone (the single or the train table)."""
         return self.fit_transform(df)[0]

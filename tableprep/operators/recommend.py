@@ -35,6 +35,7 @@ REASONS = {
     "outlier_clipping": "IQR clipping limits extreme numeric values while fitting thresholds from the training data.",
     "rare_category_grouping": "Grouping rare categories reduces sparse categorical noise before encoding.",
 }
+# Why a column is suggested for dropping.
 DROP_ID_REASON = "Nearly unique columns often act as identifiers rather than reusable predictors."
 DROP_REASON = "The flagged column is unlikely to add stable predictive value without further justification."
 # Order of suggested steps.

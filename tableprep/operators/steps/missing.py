@@ -34,7 +34,7 @@ class ReplacePlaceholderValues(Operation):
     def transform(self, df, columns, fitted):
         exprs = {}
         for n in present(df, columns):
-            value = F.lit(fitted["replacement"]).cast(df.schema[n].dataType)
+            value = F.lit(fitted["replacement"]).try_cast(df.schema[n].dataType)
             exprs[n] = F.when(self._matches(df, n, fitted["placeholders"]), value).otherwise(col(n))
         return df.withColumns(exprs)
 

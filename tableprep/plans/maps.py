@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tableprep.functions.columns import col, families, visible
+from tableprep.functions.columns import ROW_ORDER, col, families, visible
 from tableprep.plans.scratch import materialize, scratch_path
 
 INLINE_VALUES = 1_000
@@ -60,11 +60,13 @@ def lookup(df: DataFrame, name: str, text: Column, mapping: CategoryMap, code_ty
     tail = mapping.table.filter("NOT hot").select(
         F.col("value").alias(tail_key), F.col("code").cast(code_type).alias(tail_code)
     )
+    # The row-order key, where there is one, tells equal rows apart; the rest is left to adaptive skew splitting.
     kinds = families(df)
-    spread = F.pmod(F.xxhash64(*[col(n) for n in visible(df) if kinds[n] != "other"]), F.lit(SALTS)).cast("string")
+    told_by = [ROW_ORDER] if kinds.get(ROW_ORDER, "other") != "other" else [n for n in visible(df) if kinds[n] != "other"]
+    spread = F.pmod(F.xxhash64(*map(col, told_by)), F.lit(SALTS)).cast("string")
     with_head = keyed.join(F.broadcast(head), key, "left")
     settled = col(key).isNull() | col(head_code).isNotNull()
-    cold = F.when(settled, F.concat(F.lit("\x00"), spread)).otherwise(col(key))
+    cold = F.when(settled, F.concat(F.lit("__tp_cold_"), spread)).otherwise(col(key))
     joined = with_head.withColumn(tail_key, cold).join(tail, tail_key, "left")
     return joined, F.when(settled, col(head_code)).otherwise(col(tail_code))
 

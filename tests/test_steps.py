@@ -155,7 +155,7 @@ def test_bad_steps_name_the_step(table, step, message):
 
 @pytest.mark.parametrize("config, message", [
     ({"mode": "x", "steps": []}, "mode"), ({"steps": []}, "at least one"), ({"steps": [1]}, "must be an object"),
-    ({"steps": [{}]}, "missing operation_type"), ({"steps": [{"operation_type": "no"}]}, "Unsupported"),
+    ({"steps": [{}]}, "missing operation_type"), ({"steps": [{"operation_type": "no"}]}, "unsupported"),
     ({"steps": [{"operation_type": "drop_columns", "columns": "a"}]}, "columns must be"),
     ({"steps": [{"operation_type": "drop_columns", "params": []}]}, "params must be"),
 ])
@@ -251,3 +251,28 @@ def test_fit_is_fused_for_disjoint_columns(table, monkeypatch):
     Pipeline([Step("numeric_imputation", ["age"]), Step("categorical_imputation", ["city"]), Step("numeric_scaling", ["id"]),
               Step("numeric_scaling", ["age"])]).fit(table)
     assert [c for c in calls if c] == [3, 1]
+
+
+def test_cold_keys_are_spread_although_rows_are_equal(spark, monkeypatch):
+    """A third of all rows are copies with a hot value: they do not meet in one join partition."""
+    monkeypatch.setattr(maps, "INLINE_VALUES", 1)
+    monkeypatch.setattr(maps, "LITERAL_VALUES", 0)
+    df = with_row_order(spark.range(3000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), F.col("id").cast("string"))).alias("c")
+    ), "id").drop("id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        fitted = Pipeline([Step("frequency_encoding", ["c"], {"normalize": False})]).fit(df)
+        out = fitted.transform(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 3000 and out.filter("c = 1000").count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_replacement_that_does_not_fit_the_type_becomes_missing(spark):
+    df = spark.createDataFrame([(1.0,), (-9.0,)], "v double")
+    done = run(df, "replace_placeholder_values", ["v"], placeholders=[-9.0], replacement="none")[1]
+    assert [r["v"] for r in done.collect()] == [1.0, None]
