@@ -18,6 +18,7 @@ from tableprep.functions.columns import PrepError, families, nan_to_null, requir
 from tableprep.operators.steps import OPERATIONS
 from tableprep.operators.steps.base import Learned
 from tableprep.plans.freq import value_frequencies
+from tableprep.plans.jobs import side_by_side
 from tableprep.plans.maps import CategoryMap
 from tableprep.plans.quantiles import exact_quantiles
 from tableprep.plans.scratch import materialize
@@ -149,11 +150,14 @@ def _learn(df: DataFrame, pending: list[_Pending]) -> list[Learned]:
                 counts[key] = row[j]
             else:
                 out[i].scalars[key] = row[j]
-    for key, values in exact_quantiles(df, quantiles, counts=counts).items():
+    ranks, _ = side_by_side(
+        df.sparkSession,
+        lambda: exact_quantiles(df, quantiles, counts=counts),
+        lambda: _learn_categories(df, categories, out) if categories else None,
+    )
+    for key, values in ranks.items():
         i, name = key.split(":", 1)
         out[int(i)].quantiles[name] = values
-    if categories:
-        _learn_categories(df, categories, out)
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tableprep.functions.columns import PrepError
 from tableprep.functions.text import text_of
-from tableprep.operators.steps.base import Operation, choice, col, must_be, present
+from tableprep.operators.steps.base import Operation, choice, must_be, present
 from tableprep.plans.maps import CategoryMap, drop_helpers, lookup, sorted_codes
 
 ONE_HOT_LIMIT = 10_000
@@ -171,6 +171,3 @@ def _encode(df, maps, code_type, unknown):
             helped, code = lookup(out, n, text_of(out, n), mapping, code_type)
             out = drop_helpers(helped.withColumn(n, F.coalesce(code, F.lit(unknown).cast(code_type))), out)
     return out
-
-
-__all__ = ["RareCategoryGrouping", "OneHotEncoding", "OrdinalEncoding", "FrequencyEncoding", "col"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tableprep.functions.columns import ROW_ORDER, order_keys
+from tableprep.functions.columns import order_keys
 from tableprep.functions.keys import row_keys
 from tableprep.operators.steps.base import Operation, choice, must_be, present, require_columns, visible
 
@@ -52,6 +52,3 @@ class RemoveDuplicateRows(Operation):
 
     def summary(self, columns, params, counts):
         return f"Removed {counts['rows_before'] - counts['rows_after']} duplicate rows."
-
-
-__all__ = ["RemoveDuplicateRows", "ROW_ORDER"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import json
+
+from pyspark.sql import functions as F
 
-from tableprep.functions.columns import families, nan_to_null
+from tableprep.functions.columns import nan_to_null
 from tableprep.functions.rules import CODE_HINTS, ID_HINTS, MISSING_TOKENS, TARGET_HINTS
 from tableprep.operators import charts, drift, issues, profile, recommend, suggest
 from workload import oracle_profile as O
@@ -42,11 +44,6 @@ O_TABLES = {"dirty_orders", "doc_quality", "text_orders", "coded_customers", "fl
 lineitem = lambda spark, folder: read(spark, folder, "lineitem")
 
 
-def keyed_lineitem(spark, folder):
-    from tableprep import with_row_order
-    return with_row_order(read(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-
-
 # --- setup suggestions --------------------------------------------------------------------------
 
 register(
@@ -469,8 +466,6 @@ def _mapped(table: dict, key: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN {_text(k)} THEN {_text(v) if isinstance(v, str) else v}" for k, v in table.items()) + " END"
 
 
-import json
-
 STEP_PARAMS = {op: json.dumps(v, sort_keys=True) for op, v in recommend.PARAMS.items()}
 STEPS = f"""
 steps AS (SELECT *, {_mapped(STEP_PARAMS, 'operation_type')} AS params_json,
@@ -498,9 +493,9 @@ for source, table, target in (("dirty_orders", dirty_orders, STATUS), ("doc_qual
         lambda s, d, f=_found(table, target): flat(recommend.suggested_pipeline(*f(s, d)).select("step_order", "operation_type", "params_json", "columns", "reason")),
         _with(source, f"""{base}, gone AS (SELECT DISTINCT affected_columns AS c FROM steps WHERE operation_type = 'drop_columns'),
           kept AS (SELECT operation_type, params_json, affected_columns AS c, min(issue_id) AS i, arg_min(reason, issue_id) AS reason FROM steps
-            WHERE operation_type IS NOT NULL AND (operation_type IN ('drop_columns', 'remove_duplicate_rows') OR affected_columns NOT IN (SELECT c FROM gone)) GROUP BY ALL)
+            WHERE operation_type IS NOT NULL AND (operation_type IN ('drop_columns', 'remove_duplicate_rows') OR affected_columns NOT IN (SELECT c FROM gone)) GROUP BY 1, 2, 3)
           SELECT {_mapped(recommend.STEP_ORDER, 'operation_type')}::BIGINT AS step_order, operation_type, params_json,
-            string_agg(c, '|' ORDER BY i) AS columns, arg_min(reason, i) AS reason FROM kept GROUP BY 1, 2, 3""".replace(", arg_min(reason, issue_id) AS reason FROM steps", ", arg_min(reason, issue_id) AS reason FROM steps").replace("GROUP BY ALL)", "GROUP BY 1, 2, 3)"), *target),
+            string_agg(c, '|' ORDER BY i) AS columns, arg_min(reason, i) AS reason FROM kept GROUP BY 1, 2, 3""", *target),
     )
     register(
         f"recommendations_{source}",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tableprep import (
     FittedPipeline, apply_and_export, ingest_stats, latest_per_key, list_results, profile_table, read_csv, run_history,
-    store_results, table_preview, with_row_order,
+    store_results, table_preview,
 )
 from tableprep.plans.scratch import scratch_path
 from workload import oracle_profile as O

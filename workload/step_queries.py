@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from tableprep import FittedPipeline, Pipeline, Step, with_row_order
 from tableprep.operators import charts, preview, profile
 from workload import oracle_profile as O
 from workload.registry import register
-from workload.tables import PAIR, dirty_orders, doc_quality, flat, read, sql, train_and_test
+from workload.tables import PAIR, dirty_orders, flat, read, sql, text_orders, train_and_test
 
 P = sql(*PAIR)
 
@@ -172,7 +172,6 @@ step_query("datetime_parts", "datetime_extract", ["o_orderdate"], {}, [f"o_order
 
 
 def _text_dates(spark, folder):
-    from workload.tables import text_orders
     orders = text_orders(spark, folder).select("o_orderkey", "date_text", F.date_format(F.to_date(F.try_to_timestamp("date_text", F.lit("yyyy-MM-dd"))), "d.M.yyyy 'at' H").alias("other"), "__tp_row")
     steps = [Step("datetime_extract", ["date_text"]), Step("datetime_extract", ["other"], {"date_format": "%d.%m.%Y at %H", "features": ["day", "is_weekend"], "drop_original": False})]
     return flat(Pipeline(steps).fit_transform(orders)[1])
