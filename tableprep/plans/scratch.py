@@ -1,36 +1,82 @@
-"""Intermediate tables on the cluster's shared folder."""
+"""Intermediate tables on the cluster's shared folder, owned by the application and dropped when it ends."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tableprep.functions.columns import PrepError
 
-_local_dirs: dict[str, str] = {}
+_owned: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a fresh local one only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise PrepError("Set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="tableprep-")
-    return _local_dirs[app]
+    """The application's folder below ``spark.checkpoint.dir``.
+
+    In local mode, where driver and executors are one process, the warehouse folder stands in when the setting is
+    unset; on a cluster an unset folder is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise PrepError("Set spark.checkpoint.dir to a folder all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    folder = f"{base.rstrip('/')}/tableprep-{spark.sparkContext.applicationId}"
+    if folder not in _owned:
+        _owned.add(folder)
+        atexit.register(_drop_quietly, spark, folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this application wrote."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _drop_quietly(spark: SparkSession, folder: str) -> None:
+    try:
+        drop_path(spark, folder)
+    except Exception:  # the session ended first
+        pass
+
+
+def release(spark: SparkSession) -> None:
+    """Drop all intermediate tables of the application; results that read them must have been stored."""
+    for folder in [f for f in _owned if f.endswith(spark.sparkContext.applicationId)]:
+        drop_path(spark, folder)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Drops the application's intermediate tables at the end of the block."""
+    try:
+        yield
+    finally:
+        release(spark)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once and read it back: lineage is cut and its size is known to the planner."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once the driver's garbage collector has dropped their plans; this asks for it.
+
+    Called after a large shuffle has been stored with :func:`materialize` and its plan is no longer referenced.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
