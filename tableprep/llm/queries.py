@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprep.llm import decontamination, line_frequency, secrets
+from tableprep.llm import decontamination, line_frequency, packing, secrets
 
 QUERIES, ORACLES = {}, {}
 
@@ -37,3 +38,8 @@ def op6_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secrets.as_text("base").cast("binary"), 256).alias("base_sha256"), secrets.as_text("spans").alias("spans"),
     )
+
+
+@query
+def op10_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_texts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
