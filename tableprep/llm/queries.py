@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprep.llm import decontamination, line_frequency, packing, secrets
+from tableprep.llm import decontamination, line_frequency, ngram_join, packing, secrets
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,3 +43,8 @@ def op6_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_texts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))

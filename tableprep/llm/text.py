@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # ASCII white space of the word rules.
 SPACES = b"\t\n\x0b\x0c\r "
@@ -43,10 +46,30 @@ def held_out(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts == 0
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, for sessions whose workers do not have it on their path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    target = os.path.join(tempfile.mkdtemp(), "tableprep_package.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "tableprep")):
+            for name in names:
+                if name.endswith(".py"):
+                    out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
 def arrow_map(
     df: DataFrame, columns: dict[str, Column | str], work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` over the named columns only, so that other columns, whatever their names, are neither read nor sent."""
+    ship_package(df.sparkSession)
     picked = [(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
     return df.select(*picked).mapInArrow(work, schema)
 
