@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprep.llm import decontamination, line_frequency, ngram_join, packing, secrets
+from tableprep.llm import decontamination, line_frequency, ngram_join, packing, preferences, secrets, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,3 +48,18 @@ def op10_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
+# The rules of the query, (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query
+def op2_link_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+@query
+def op8_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    talks = preferences.conversations(table(spark, folder, "conversations"))
+    return preferences.format_preferences(preferences.stale_reply_pairs(talks))
