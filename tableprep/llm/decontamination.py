@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -17,7 +18,7 @@ SPAN = "array<struct<start:bigint,end:bigint>>"
 SCAN = f"text string, spots {SPAN}, items array<string>"
 RESULT = f"n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans {SPAN}"
 
-_built: dict[int, ahocorasick.Automaton] = {}
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
 def item_windows(text: bytes, size: int) -> list[list[bytes]]:
@@ -46,6 +47,14 @@ def build(items: list[tuple[str | None, bytes]], size: int) -> ahocorasick.Autom
     return out
 
 
+def built(name: str, items: list[tuple[str | None, bytes]], size: int) -> ahocorasick.Automaton:
+    """The automaton of a part of the items, built once in a Python worker."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = build(items, size)
+    return _built[name]
+
+
 def occurrences(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
     """Merged word ranges that windows cover, and the ids of the items found."""
     merged: list[list[int]] = []
@@ -116,12 +125,10 @@ def find_contamination(
 
 
 def _scanner(sent, columns: list[str], window: int, last: bool):
+    name = uuid.uuid4().hex
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(sent.value)
-        if key not in _built:
-            _built.clear()
-            _built[key] = build(sent.value, window)
-        automaton = _built[key]
+        automaton = built(name, sent.value, window)
         for b in batches:
             rows = []
             for raw, spots, before in zip(utf8(b["text"]), b["spots"].to_pylist(), b["items"].to_pylist()):

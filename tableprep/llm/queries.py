@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprep.llm import decontamination, line_frequency, ngram_join, packing, preferences, secrets, url_filter
+from tableprep.llm import decontamination, hmm, line_frequency, ngram_join, packing, preferences, secrets, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -63,3 +63,8 @@ def op2_link_graph(spark: SparkSession, folder: str) -> DataFrame:
 def op8_preferences(spark: SparkSession, folder: str) -> DataFrame:
     talks = preferences.conversations(table(spark, folder, "conversations"))
     return preferences.format_preferences(preferences.stale_reply_pairs(talks))
+
+
+@query
+def op1_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score_held_out(table(spark, folder, "documents"))
