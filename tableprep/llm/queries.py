@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprep.llm import decontamination, hmm, line_frequency, ngram_join, packing, preferences, secrets, url_filter
+from tableprep.llm import decontamination, gam, hmm, line_frequency, ngram_join, packing, preferences, secrets, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -68,3 +68,8 @@ def op8_preferences(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.score_held_out(table(spark, folder, "documents"))
+
+
+@query
+def op9_additive_model(spark: SparkSession, folder: str) -> DataFrame:
+    return gam.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
