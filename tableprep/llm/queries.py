@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprep.llm import decontamination, gam, hmm, line_frequency, ngram_join, packing, preferences, secrets, url_filter
+from tableprep.llm import decontamination, gam, hmm, language_id, line_frequency, ngram_join, packing, preferences, secrets, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -73,3 +73,20 @@ def op1_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_additive_model(spark: SparkSession, folder: str) -> DataFrame:
     return gam.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+LANGUAGES = ("en", "de", "fr", "es")
+
+
+@query
+def op5_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents declare their language in ``lang``; their host is ``source``."""
+    docs = table(spark, folder, "documents")
+    return language_id.identify(docs, language_id.learn_text(docs, LANGUAGES), ["doc_id"])
+
+
+@query
+def pages_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over web pages: markup language, host and address suffix; the text model is learnt from the documents."""
+    model = language_id.learn_text(table(spark, folder, "documents"), LANGUAGES)
+    return language_id.identify(table(spark, folder, "pages"), model, ["page_id"], **language_id.page_evidence())
