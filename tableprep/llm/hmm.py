@@ -240,7 +240,7 @@ def first_model(docs: DataFrame, sent, v: Vocabulary, settings: Settings, text:
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(m * m)
-        for flat, _ in symbol_batches(batches, sent.value, 1_000_000):
+        for flat, _ in symbol_batches(batches, sent.value, 400_000):
             a, b = flat[:-1], flat[1:]
             both = (a < m) & (b < m)
             found += np.bincount(a[both] * m + b[both], minlength=m * m)
@@ -330,29 +330,24 @@ def score(docs: DataFrame, trained: tuple[DataFrame, Vocabulary, Model], key: st
         places, hot = places_of(v), len(v.words)
         end = places[END] if v.known else None
         for b in batches:
-            keys, group, n = [], [], 0
+            keys, at, tails, n = [], [], [], 0
             for key, text in zip(b["id"].to_pylist(), utf8(b["text"])):
                 words = spaced_words(text)
+                p = places.of(words)
+                other = Counter([words[i] for i in np.flatnonzero(p >= hot)])
+                if end is None:  # without training texts even the end is unknown; it has the place of its class
+                    other[END] += 1
                 keys.append(key)
-                group.append(words)
-                n += len(words) + 1
-                if n >= 2_000_000:
-                    yield of_group(keys, group, places, hot, end, v, model, b["id"].type)
-                    keys, group, n = [], [], 0
+                tails.append([{"word": w, "n": c} for w, c in other.items()])
+                at.append(np.append(p, places[END] if end is None else end).astype(np.int32))
+                n += len(at[-1])
+                if n >= 600_000:
+                    yield of_group(keys, at, tails, hot, v, model, b["id"].type)
+                    keys, at, tails, n = [], [], [], 0
             if keys:
-                yield of_group(keys, group, places, hot, end, v, model, b["id"].type)
-
-    def of_group(keys, group, places, hot, end, v, model, kind) -> pa.RecordBatch:
-        tails, at = [], []
-        for words in group:
-            p = places.of(words)
-            other = Counter([words[i] for i in np.flatnonzero(p >= hot)])
-            # Without training texts even the end is unknown; it then has the place of its class.
-            p = np.append(p, places[END] if end is None else end)
-            if end is None:
-                other[END] += 1
-            at.append(p)
-            tails.append([{"word": w, "n": c} for w, c in other.items()])
+                yield of_group(keys, at, tails, hot, v, model, b["id"].type)
+
+    def of_group(keys, at, tails, hot, v, model, kind) -> pa.RecordBatch:
         flat, sizes = np.concatenate(at), np.array([len(p) for p in at])
         packed = Packed(v.symbol[flat], sizes)
         add = lambda values: np.add.reduceat(values, packed.first)

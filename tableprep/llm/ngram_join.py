@@ -186,7 +186,7 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.concat_tables([kept, back])
 
 
-SETS = "size bigint, digest binary, rare bigint, tokens binary, counts binary"
+SETS = "size bigint, digest binary, rare bigint, weight bigint, tokens binary, counts binary"
 
 
 def _gathered(keep: int, of: int):
@@ -210,10 +210,11 @@ def _gathered(keep: int, of: int):
                     new["rare"] = size - int(b - a)
                     # A partner leaves at most size - ceil(keep / of * size) tokens of this set out.
                     if of * new["rare"] <= (of - keep) * size:
-                        new |= {"tokens": tokens[a:b].tobytes(), "counts": counts[a:b].tobytes()}
+                        weight = 1000 * (int(counts[a:b].sum(dtype=np.int64)) + new["rare"]) // size
+                        new |= {"weight": weight, "tokens": tokens[a:b].tobytes(), "counts": counts[a:b].tobytes()}
                 out.append(new)
         kind = table.schema.field("ids").type.value_type
-        names = {"id": kind, "size": pa.int64(), "digest": pa.binary(), "rare": pa.int64(), "tokens": pa.binary(), "counts": pa.binary()}
+        names = {"id": kind, "size": pa.int64(), "digest": pa.binary(), "rare": pa.int64(), "weight": pa.int64(), "tokens": pa.binary(), "counts": pa.binary()}
         return pa.Table.from_pylist(out, pa.schema(names))
 
     return work
@@ -264,42 +265,40 @@ def _indexed(frequent: int, keep: int, of: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 500):
-                cells: list[list[np.ndarray]] = [[], [], [], []]
+                cells: list[list[np.ndarray]] = [[], [], [], [], []]
                 rows = b.slice(start, 500).to_pylist()
                 for r in rows:
-                    keys = signatures(r["size"], r["rare"], np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["counts"], "<u2"), frequent, keep, of)
-                    for column, value in zip(cells, (keys.view(np.int64), r["node"], r["size"], r["size"] - r["rare"])):
+                    counts = np.frombuffer(r["counts"], "<u2")
+                    keys = signatures(r["size"], r["rare"], np.frombuffer(r["tokens"], "<u8"), counts, frequent, keep, of)
+                    for column, value in zip(cells, (keys.view(np.int64), r["weight"], r["node"], r["size"], r["size"] - r["rare"])):
                         column.append(value if isinstance(value, np.ndarray) else np.full(len(keys), value, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cells], ["key", "node", "size", "common"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cells], ["key", "weight", "node", "size", "common"])
 
     return work
 
 
-def _overlaps(keep: int, of: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            linked = []
-            for x, y, m, n in zip(b["x"].to_pylist(), b["y"].to_pylist(), b["size_a"].to_pylist(), b["size_b"].to_pylist()):
-                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-                linked.append(of * both >= keep * (m + n - both))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], ["a", "b"])
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        both = [
+            len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist())
+        ]
+        yield pa.RecordBatch.from_arrays([b["a"], b["b"], b["size_a"], b["size_b"], pa.array(both, pa.int64())], ["a", "b", "size_a", "size_b", "both"])
 
-    return work
 
+def _similar(both: Column | str, keep: int, of: int) -> Column:
+    """Whether so large an overlap makes two sets of ``size_a`` and ``size_b`` tokens similar enough."""
+    return (keep + of) * (F.col(both) if isinstance(both, str) else both) >= keep * (F.col("size_a") + F.col("size_b"))
 
-def _possible(keep: int, of: int) -> Column:
-    """Bound on the overlap by the tokens that others hold at all."""
-    return (keep + of) * F.least("common_a", "common_b") >= keep * (F.col("size_a") + F.col("size_b"))
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, keep: int, of: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their exact overlap ``both``."""
     side = lambda node, name, size: sets.select(F.col("node").alias(node), F.col("tokens").alias(name), F.col("size").alias(size))
     joined = pairs.select("a", "b").join(side("a", "x", "size_a"), "a").join(side("b", "y", "size_b"), "b")
-    return arrow_map(joined, {c: c for c in ("a", "b", "x", "y", "size_a", "size_b")}, _overlaps(keep, of), "a bigint, b bigint")
+    return arrow_map(joined, {c: c for c in ("a", "b", "x", "y", "size_a", "size_b")}, _overlaps, "a bigint, b bigint, size_a bigint, size_b bigint, both bigint")
 
 
-def _named(rows: DataFrame, end: str) -> list[Column]:
+def _named(end: str) -> list[Column]:
     return [F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("common").alias(f"common_{end}")]
 
 
@@ -314,10 +313,14 @@ def near_duplicates(
     1. Each task turns its documents into blocks of distinct sets, deals the tokens of a block over ranges of tokens in
        packed form, and each range sends back the tokens that two or more sets hold, with that number. A set with too
        many tokens of its own cannot have a partner and leaves. A block holds a set once, whatever its copies.
-    2. Sets are indexed by :func:`signatures`. In each list of an index key, all sets are verified against the first:
-       a star instead of all pairs. Components are formed.
+    2. Sets are indexed by :func:`signatures`. In each list of an index key, all sets are verified against the one whose
+       tokens are the most widely held, most often the text that the others were made from: a star instead of all
+       pairs. Components are formed.
     3. Lists that still hold several components: the sets outside the list's largest component are verified against
-       those of other components. Pairs inside a component are never formed, no possible link between components is
+       those of other components. Of two sets x and y, the overlaps with the list's first set c are known (and those with
+       the most widely held set that both were verified against), and
+       ``|x & y| <= min(|x & c|, |y & c|) + min(|x - c|, |y - c|)``, counting tokens that others hold, so most pairs
+       that cannot link are never formed. Nor are pairs inside a component; no possible link between components is
        left out.
 
     Null and empty texts have no shingles and are linked with nothing: their component is their own key. Equal texts
@@ -337,32 +340,47 @@ def near_duplicates(
     free_shuffles(spark)
 
     sets = materialize(
-        members.filter("tokens is not null").groupBy("digest").agg(F.first(F.struct("size", "rare", "tokens", "counts")).alias("s"))
+        members.filter("tokens is not null").groupBy("digest").agg(F.first(F.struct("size", "rare", "weight", "tokens", "counts")).alias("s"))
         .select("digest", "s.*").withColumn("node", F.monotonically_increasing_id()),
         "candidates",
     )
-    index = materialize(
-        arrow_map(sets, {c: c for c in ("node", "size", "rare", "tokens", "counts")}, _indexed(frequent, keep, of), "key bigint, node bigint, size bigint, common bigint"),
-        "index",
-    )
-    heads = index.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "common")).alias("head")).filter("n > 1")
-    lists = materialize(index.join(heads.select("key", "head"), "key"), "lists")
-    star = lists.select("key", F.col("head.node").alias("a"), F.col("head.size").alias("size_a"), F.col("head.common").alias("common_a"), *_named(lists, "b"))
-    star = materialize(star.filter("a <> b").filter(_possible(keep, of)).select("a", "b").distinct(), "star")
-    links = materialize(_verified(star, sets, keep, of), "links")
+    columns = ("node", "size", "rare", "weight", "tokens", "counts")
+    fields = "key bigint, weight bigint, node bigint, size bigint, common bigint"
+    index = materialize(arrow_map(sets, {c: c for c in columns}, _indexed(frequent, keep, of), fields), "index")
+    heads = index.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node", "size", "common")).alias("head")).filter("n > 1")
+    heads = heads.select("key", F.col("head.node").alias("a"), F.col("head.size").alias("size_a"), F.col("head.common").alias("common_a"))
+    lists = materialize(index.drop("weight").join(heads, "key"), "lists")
+    star = lists.select("a", "size_a", "common_a", *_named("b")).filter("a <> b").filter(_similar(F.least("common_a", "common_b"), keep, of))
+    star = materialize(_verified(star.select("a", "b").distinct(), sets), "star")
+    links = star.filter(_similar("both", keep, of)).select("a", "b")
     labels = connected_components(links)
 
-    labelled = lists.drop("head").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed_lists = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-    rows = materialize(labelled.join(mixed_lists.select("key", "main"), "key"), "mixed")
-    others = rows.filter("label <> main").select("key", F.col("label").alias("label_a"), *_named(rows, "a"))
-    everyone = rows.select("key", "main", F.col("label").alias("label_b"), *_named(rows, "b"))
+    several = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    # Overlaps with the list's first set: all of itself, the verified one, or at most what both share with others.
+    known = star.select("a", F.col("b").alias("node"), "both")
+    inside = F.when(F.col("a") == F.col("node"), F.col("common")).otherwise(F.coalesce("both", F.least("common", "common_a")))
+    outside = F.when(F.col("a") == F.col("node"), 0).otherwise(F.col("common") - F.coalesce("both", F.lit(0)))
+    # The most widely held set that a set was verified against (or itself), and the overlap with that one.
+    own = sets.select(F.col("node").alias("a"), "weight", (F.col("size") - F.col("rare")).alias("both"))
+    centres = star.select("a", F.col("b").alias("node"), "both").join(own.select("a", "weight"), "a")
+    centres = centres.unionByName(own.join(star.select("a").distinct(), "a", "left_semi").withColumn("node", F.col("a")))
+    centres = centres.groupBy("node").agg(F.max_by(F.struct("a", "both"), F.struct("weight", "a")).alias("centre"))
+    rows = labelled.join(several.select("key", "main"), "key").join(known, ["a", "node"], "left").join(centres, "node", "left")
+    rows = rows.withColumns({"inside": inside, "outside": outside, "near": F.col("centre.both"), "far": F.col("common") - F.col("centre.both")})
+    rows = materialize(rows.select("key", "main", "label", "node", "size", "inside", "outside", F.col("centre.a").alias("centre"), "near", "far"), "several")
+    bounds = lambda end: [F.col(c).alias(f"{c}_{end}") for c in rows.columns if c not in ("key", "main", "node")] + [F.col("node").alias(end)]
+    by_head = F.least("inside_a", "inside_b") + F.least("outside_a", "outside_b")
+    by_centre = F.when(F.col("centre_a") == F.col("centre_b"), F.least("near_a", "near_b") + F.least("far_a", "far_b"))
     rest = (
-        others.join(everyone, "key").filter("label_a <> label_b and (label_b = main or a < b)").filter(_possible(keep, of))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+        rows.filter("label <> main").select("key", *bounds("a")).join(rows.select("key", "main", *bounds("b")), "key")
+        .filter("label_a <> label_b and (label_b = main or a < b)").filter(_similar(F.least(by_head, by_centre), keep, of))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
-    labels = connected_components(links.unionByName(_verified(materialize(rest, "rest"), sets, keep, of)))
+    rest = materialize(rest.distinct(), "pairs")
+    more = _verified(rest, sets).filter(_similar("both", keep, of)).select("a", "b")
+    labels = connected_components(links.unionByName(more))
 
     of_set = members.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("first"))
     named = sets.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -90,3 +91,12 @@ def pages_language(spark: SparkSession, folder: str) -> DataFrame:
     """The same over web pages: markup language, host and address suffix; the text model is learnt from the documents."""
     model = language_id.learn_text(table(spark, folder, "documents"), LANGUAGES)
     return language_id.identify(table(spark, folder, "pages"), model, ["page_id"], **language_id.page_evidence())
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

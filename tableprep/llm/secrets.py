@@ -127,3 +127,38 @@ def as_text(spans: str):
         ),
         ",",
     )
+
+
+def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", scope: int = 300, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of :func:`linked_spans` replaced by ``mark``, overlapping spans by one; all rows stay.
+
+    A column ``length``, if there is one, becomes the number of code points of a changed text. Null texts stay null.
+    """
+    columns = docs.columns
+    found = linked_spans(docs, columns, text, scope)
+    place = {c: f"c{i}" for i, c in enumerate(columns)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = {c: b[c] for c in place.values()}
+            texts, lists = b[place[text]].to_pylist(), b["spans"].to_pylist()
+            new = [_struck(t, spans, mark) if spans else t for t, spans in zip(texts, lists)]
+            cells[place[text]] = pa.array(new, cells[place[text]].type)
+            if length in place:
+                kind = cells[place[length]].type
+                old = cells[place[length]].to_pylist()
+                cells[place[length]] = pa.array([len(t) if spans else n for t, spans, n in zip(new, lists, old)], kind)
+            yield pa.RecordBatch.from_arrays(list(cells.values()), list(cells))
+
+    types = ", ".join(f"{place[c]} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    out = arrow_map(found, {place[c]: c for c in columns} | {"spans": "spans"}, work, types)
+    return out.withColumnsRenamed({k: c for c, k in place.items()})
+
+
+def _struck(text: str, spans: list[dict[str, int]], mark: str) -> str:
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], mark]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
