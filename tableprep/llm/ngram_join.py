@@ -298,10 +298,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(joined, {c: c for c in ("a", "b", "x", "y", "size_a", "size_b")}, _overlaps, "a bigint, b bigint, size_a bigint, size_b bigint, both bigint")
 
 
-def _named(end: str) -> list[Column]:
-    return [F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("common").alias(f"common_{end}")]
-
-
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, keep: int = 75, of: int = 100, frequent: int = 32
 ) -> DataFrame:
@@ -347,21 +343,21 @@ def near_duplicates(
     columns = ("node", "size", "rare", "weight", "tokens", "counts")
     fields = "key bigint, weight bigint, node bigint, size bigint, common bigint"
     index = materialize(arrow_map(sets, {c: c for c in columns}, _indexed(frequent, keep, of), fields), "index")
-    heads = index.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node", "size", "common")).alias("head")).filter("n > 1")
-    heads = heads.select("key", F.col("head.node").alias("a"), F.col("head.size").alias("size_a"), F.col("head.common").alias("common_a"))
+    heads = index.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("head")).filter("n > 1")
+    heads = heads.select("key", F.col("head.node").alias("a"))
     lists = materialize(index.drop("weight").join(heads, "key"), "lists")
-    star = lists.select("a", "size_a", "common_a", *_named("b")).filter("a <> b").filter(_similar(F.least("common_a", "common_b"), keep, of))
-    star = materialize(_verified(star.select("a", "b").distinct(), sets), "star")
+    star = lists.select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    star = materialize(_verified(star, sets), "star")
     links = star.filter(_similar("both", keep, of)).select("a", "b")
     labels = connected_components(links)
 
     labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     several = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-    # Overlaps with the list's first set: all of itself, the verified one, or at most what both share with others.
+    # Overlaps with the list's first set, all of the common tokens for that set itself.
     known = star.select("a", F.col("b").alias("node"), "both")
-    inside = F.when(F.col("a") == F.col("node"), F.col("common")).otherwise(F.coalesce("both", F.least("common", "common_a")))
-    outside = F.when(F.col("a") == F.col("node"), 0).otherwise(F.col("common") - F.coalesce("both", F.lit(0)))
+    inside = F.coalesce("both", "common")
+    outside = F.col("common") - inside
     # The most widely held set that a set was verified against (or itself), and the overlap with that one.
     own = sets.select(F.col("node").alias("a"), "weight", (F.col("size") - F.col("rare")).alias("both"))
     centres = star.select("a", F.col("b").alias("node"), "both").join(own.select("a", "weight"), "a")
