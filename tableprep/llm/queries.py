@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprep.llm import decontamination, gam, hmm, language_id, line_frequency, ngram_join, packing, preferences, secrets, url_filter
+from tableprep.llm import decontamination, gam, hmm, language_id, line_frequency, ngram_join, oracles, packing, preferences, secrets, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -98,5 +98,9 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
+ORACLES["op3_decontamination"] = oracles.DECONTAMINATION
+ORACLES["op4_line_frequency"] = oracles.LINE_FREQUENCY
+ORACLES["op7_ngram_join"] = oracles.NGRAM_JOIN
+ORACLES["op8_preferences"] = oracles.PREFERENCES
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
