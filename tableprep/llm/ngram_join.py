@@ -23,6 +23,8 @@ from tableprep.plans.scratch import free_shuffles, materialize
 U = np.uint64
 # Tokens are 56-bit hashes: two shingles of one pair of documents of a thousand words meet by chance once in 10^11.
 BITS = 56
+FOLD = 8
+VERIFIED = "a bigint, b bigint, size_a bigint, size_b bigint, both bigint, gap array<bigint>"
 BLOCK_TOKENS, BLOCK_SETS = 1_000_000, 60_000
 RANGE_TOKENS = 2_000_000
 
@@ -277,13 +279,23 @@ def _indexed(frequent: int, keep: int, of: int):
     return work
 
 
+def folded(tokens: np.ndarray) -> list[int]:
+    """Bits of the tokens in ``FOLD`` words of 64: no more bits than tokens."""
+    out = np.zeros(FOLD, U)
+    np.bitwise_or.at(out, (tokens >> U(6)) % U(FOLD), U(1) << (tokens & U(63)))
+    return out.view(np.int64).tolist()
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        both = [
-            len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist())
-        ]
-        yield pa.RecordBatch.from_arrays([b["a"], b["b"], b["size_a"], b["size_b"], pa.array(both, pa.int64())], ["a", "b", "size_a", "size_b", "both"])
+        both, gaps = [], []
+        for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
+            x = np.frombuffer(x, "<u8")
+            common = np.intersect1d(x, np.frombuffer(y, "<u8"), assume_unique=True)
+            both.append(len(common))
+            gaps.append(folded(np.setdiff1d(x, common, assume_unique=True)))
+        cells = [b["a"], b["b"], b["size_a"], b["size_b"], pa.array(both, pa.int64()), pa.array(gaps, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cells, ["a", "b", "size_a", "size_b", "both", "gap"])
 
 
 def _similar(both: Column | str, keep: int, of: int) -> Column:
@@ -292,10 +304,24 @@ def _similar(both: Column | str, keep: int, of: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their exact overlap ``both``."""
+    """Pairs (a, b) with their exact overlap ``both`` and the folded common tokens of a that b lacks, ``gap``."""
     side = lambda node, name, size: sets.select(F.col("node").alias(node), F.col("tokens").alias(name), F.col("size").alias(size))
     joined = pairs.select("a", "b").join(side("a", "x", "size_a"), "a").join(side("b", "y", "size_b"), "b")
-    return arrow_map(joined, {c: c for c in ("a", "b", "x", "y", "size_a", "size_b")}, _overlaps, "a bigint, b bigint, size_a bigint, size_b bigint, both bigint")
+    return arrow_map(joined, {c: c for c in ("a", "b", "x", "y", "size_a", "size_b")}, _overlaps, VERIFIED)
+
+
+def _main_labels(labelled: DataFrame, key: str) -> DataFrame:
+    """(key, main) of the keys that hold several labels: the one of most rows."""
+    by_label = labelled.groupBy(key, "label").agg(F.count("*").alias("n"))
+    mains = by_label.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
+    return mains.filter("labels > 1").select(key, "main")
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """Written and read back; the shuffles that made it may go."""
+    out = materialize(df, label)
+    free_shuffles(df.sparkSession)
+    return out
 
 
 def near_duplicates(
@@ -312,12 +338,11 @@ def near_duplicates(
     2. Sets are indexed by :func:`signatures`. In each list of an index key, all sets are verified against the one whose
        tokens are the most widely held, most often the text that the others were made from: a star instead of all
        pairs. Components are formed.
-    3. Lists that still hold several components: the sets outside the list's largest component are verified against
-       those of other components. Of two sets x and y, the overlaps with the list's first set c are known (and those with
-       the most widely held set that both were verified against), and
-       ``|x & y| <= min(|x & c|, |y & c|) + min(|x - c|, |y - c|)``, counting tokens that others hold, so most pairs
-       that cannot link are never formed. Nor are pairs inside a component; no possible link between components is
-       left out.
+    3. Lists that still hold several components: the sets outside the largest component are verified against those of
+       other components. Pairs inside a component are never formed, and no possible link between components is left
+       out, but most pairs that cannot link are ruled out by what is known of either set's overlap with a common third
+       set c: ``|x & y| <= min(|x & c|, |y & c|, |c| - |c - x - y|) + min(|x - c|, |y - c|)``. Sets verified against
+       the same most widely held set meet there once, others in their lists.
 
     Null and empty texts have no shingles and are linked with nothing: their component is their own key. Equal texts
     are linked. A null key takes part, but a component takes the smallest key that is not null. Repeated rows each
@@ -335,7 +360,7 @@ def near_duplicates(
     del sent, counted, gathered
     free_shuffles(spark)
 
-    sets = materialize(
+    sets = _stored(
         members.filter("tokens is not null").groupBy("digest").agg(F.first(F.struct("size", "rare", "weight", "tokens", "counts")).alias("s"))
         .select("digest", "s.*").withColumn("node", F.monotonically_increasing_id()),
         "candidates",
@@ -345,36 +370,47 @@ def near_duplicates(
     index = materialize(arrow_map(sets, {c: c for c in columns}, _indexed(frequent, keep, of), fields), "index")
     heads = index.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("head")).filter("n > 1")
     heads = heads.select("key", F.col("head.node").alias("a"))
-    lists = materialize(index.drop("weight").join(heads, "key"), "lists")
+    lists = _stored(index.drop("weight").join(heads, "key"), "lists")
     star = lists.select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    star = materialize(_verified(star, sets), "star")
+    star = _stored(_verified(star, sets), "star")
     links = star.filter(_similar("both", keep, of)).select("a", "b")
     labels = connected_components(links)
 
     labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    several = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-    # Overlaps with the list's first set, all of the common tokens for that set itself.
-    known = star.select("a", F.col("b").alias("node"), "both")
+    several = _main_labels(labelled, "key")
+    # What is known of each set: the most widely held set that it was verified against (or itself), and the overlap.
+    facts = sets.select("node", "size", "weight", (F.col("size") - F.col("rare")).alias("common"))
+    centre = facts.select(F.col("node").alias("a"), "weight", F.col("common").alias("centre_common"))
+    met = star.select("a", F.col("b").alias("node"), "both", "gap").join(centre, "a")
+    alone = centre.join(star.select("a").distinct(), "a", "left_semi").select(
+        "a", F.col("a").alias("node"), F.col("centre_common").alias("both"), F.array(*[F.lit(0).cast("bigint")] * FOLD).alias("gap"), "weight", "centre_common"
+    )
+    met = met.unionByName(alone).groupBy("node").agg(F.max_by(F.struct(F.col("a").alias("centre"), "both", "gap", "centre_common"), F.struct("weight", "a")).alias("m"))
+    known = met.select("node", "m.*").join(facts.select("node", "size", "common"), "node").join(labels, "node", "left")
+    known = known.withColumns({"label": F.coalesce("label", "node"), "far": F.col("common") - F.col("both")})
+    known = _stored(known.select("node", "centre", "centre_common", "label", "size", F.col("both").alias("near"), "far", "gap"), "known")
+    side = lambda df, end: df.select(*[F.col(c).alias(f"{c}_{end}") for c in df.columns if c not in ("key", "main", "node")], *[c for c in df.columns if c in ("key", "main")], F.col("node").alias(end))
+    apart = "label_a <> label_b and (label_b = main or a < b)"
+
+    round_centre = known.withColumnRenamed("centre", "key").join(_main_labels(known.withColumnRenamed("centre", "key"), "key"), "key")
+    lacking = sum((F.bit_count(F.col("gap_a")[i].bitwiseOR(F.col("gap_b")[i])) for i in range(1, FOLD)), F.bit_count(F.col("gap_a")[0].bitwiseOR(F.col("gap_b")[0])))
+    most = F.least("near_a", "near_b", F.col("centre_common_a") - lacking) + F.least("far_a", "far_b")
+    same_centre = (
+        side(round_centre.filter("label <> main").drop("main"), "a").join(side(round_centre, "b"), "key")
+        .filter(apart).filter(_similar(most, keep, of)).select("a", "b")
+    )
+
+    by_head = star.select("a", F.col("b").alias("node"), "both")
+    rows = labelled.join(several, "key").join(by_head, ["a", "node"], "left").join(known.select("node", "centre"), "node")
     inside = F.coalesce("both", "common")
-    outside = F.col("common") - inside
-    # The most widely held set that a set was verified against (or itself), and the overlap with that one.
-    own = sets.select(F.col("node").alias("a"), "weight", (F.col("size") - F.col("rare")).alias("both"))
-    centres = star.select("a", F.col("b").alias("node"), "both").join(own.select("a", "weight"), "a")
-    centres = centres.unionByName(own.join(star.select("a").distinct(), "a", "left_semi").withColumn("node", F.col("a")))
-    centres = centres.groupBy("node").agg(F.max_by(F.struct("a", "both"), F.struct("weight", "a")).alias("centre"))
-    rows = labelled.join(several.select("key", "main"), "key").join(known, ["a", "node"], "left").join(centres, "node", "left")
-    rows = rows.withColumns({"inside": inside, "outside": outside, "near": F.col("centre.both"), "far": F.col("common") - F.col("centre.both")})
-    rows = materialize(rows.select("key", "main", "label", "node", "size", "inside", "outside", F.col("centre.a").alias("centre"), "near", "far"), "several")
-    bounds = lambda end: [F.col(c).alias(f"{c}_{end}") for c in rows.columns if c not in ("key", "main", "node")] + [F.col("node").alias(end)]
-    by_head = F.least("inside_a", "inside_b") + F.least("outside_a", "outside_b")
-    by_centre = F.when(F.col("centre_a") == F.col("centre_b"), F.least("near_a", "near_b") + F.least("far_a", "far_b"))
-    rest = (
-        rows.filter("label <> main").select("key", *bounds("a")).join(rows.select("key", "main", *bounds("b")), "key")
-        .filter("label_a <> label_b and (label_b = main or a < b)").filter(_similar(F.least(by_head, by_centre), keep, of))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rows = _stored(rows.select("key", "main", "label", "node", "size", "centre", inside.alias("inside"), (F.col("common") - inside).alias("outside")), "several")
+    most = F.least("inside_a", "inside_b") + F.least("outside_a", "outside_b")
+    other_centre = (
+        side(rows.filter("label <> main").drop("main"), "a").join(side(rows, "b"), "key")
+        .filter(apart).filter("centre_a <> centre_b").filter(_similar(most, keep, of)).select("a", "b")
     )
-    rest = materialize(rest.distinct(), "pairs")
+    rest = same_centre.unionByName(other_centre).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = _stored(rest.distinct(), "pairs")
     more = _verified(rest, sets).filter(_similar("both", keep, of)).select("a", "b")
     labels = connected_components(links.unionByName(more))
 
