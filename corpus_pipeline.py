@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tableprep.llm import decontamination, language_id, ngram_join, packing, secrets
+from tableprep.llm.text import numbered, restored
 from tableprep.plans.scratch import free_shuffles, materialize
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -18,7 +19,9 @@ LANGUAGES = ("en", "de", "fr", "es")
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay; those without letters, or in no language that the model knows, go."""
     model = language_id.learn_text(docs, LANGUAGES)
-    return language_id.identify(docs, model, docs.columns).filter("kept").select(*_quoted(docs))
+    source, names = numbered(docs)
+    found = language_id.identify(source, model, source.columns, names["text"], names["lang"], names["source"])
+    return restored(found.filter("kept"), names)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +36,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     listed = materialize(ids.filter("n > 1 or component_id <> doc_id"), "listed")
     alone = docs.join(listed.select("doc_id"), "doc_id", "left_anti")
     repeated = docs.join(listed.filter("component_id = doc_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return alone.unionByName(repeated).select(*_quoted(docs))
+    return alone.unionByName(repeated)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.find_contamination(docs.withColumn("scanned_text", F.col("text")), items, docs.columns, text="scanned_text")
-    return found.filter("not contaminated").select(*_quoted(docs))
+    source, names = numbered(docs)
+    found = decontamination.find_contamination(source, items, source.columns, text=names["text"])
+    return restored(found.filter("not contaminated"), names)
 
 
 def strike_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +68,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _quoted(df: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in df.columns]
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tableprep.llm.text import arrow_map
+from tableprep.llm.text import arrow_map, numbered, restored
 from tableprep.plans.scratch import materialize
 
 # The kinds in their order, the patterns of the three strong kinds and the weak parts.
@@ -134,25 +134,22 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
 
     A column ``length``, if there is one, becomes the number of code points of a changed text. Null texts stay null.
     """
-    columns = docs.columns
-    found = linked_spans(docs, columns, text, scope)
-    place = {c: f"c{i}" for i, c in enumerate(columns)}
+    source, names = numbered(docs)
+    found = linked_spans(source, source.columns, names[text], scope)
+    place, size = names[text], names.get(length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = {c: b[c] for c in place.values()}
-            texts, lists = b[place[text]].to_pylist(), b["spans"].to_pylist()
-            new = [_struck(t, spans, mark) if spans else t for t, spans in zip(texts, lists)]
-            cells[place[text]] = pa.array(new, cells[place[text]].type)
-            if length in place:
-                kind = cells[place[length]].type
-                old = cells[place[length]].to_pylist()
-                cells[place[length]] = pa.array([len(t) if spans else n for t, spans, n in zip(new, lists, old)], kind)
+            cells = {c: b[c] for c in names.values()}
+            spans = b["spans"].to_pylist()
+            new = [_struck(t, s, mark) if s else t for t, s in zip(b[place].to_pylist(), spans)]
+            cells[place] = pa.array(new, b[place].type)
+            if size:
+                cells[size] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, b[size].to_pylist())], b[size].type)
             yield pa.RecordBatch.from_arrays(list(cells.values()), list(cells))
 
-    types = ", ".join(f"{place[c]} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    out = arrow_map(found, {place[c]: c for c in columns} | {"spans": "spans"}, work, types)
-    return out.withColumnsRenamed({k: c for c, k in place.items()})
+    types = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in names.values())
+    return restored(arrow_map(found, {c: c for c in found.columns}, work, types), names)
 
 
 def _struck(text: str, spans: list[dict[str, int]], mark: str) -> str:

@@ -76,3 +76,14 @@ def arrow_map(
 
 def batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ... so that none clashes with a new one, and the number of each name."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Only the numbered columns, under their own names."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
