@@ -216,38 +216,70 @@ def cut_segments(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
-def symbol_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(symbols, sizes) of whole texts, about ``tokens`` symbols at a time; the end of a text is its last symbol."""
-    places = places_of(v)
-    end = int(v.symbol[places[END]])
-    flat, sizes, n = [], [], 0
+CODED = "n_tokens bigint, n_hot bigint, base double, share double, symbols binary, tail array<struct<word:binary,n:bigint>>"
+
+
+def encode(docs: DataFrame, v: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each text once: its symbols as 16-bit numbers, the sums over its hot words and its other words with their number.
+
+    Stored, so that all rounds and the scoring read symbols instead of texts. ``row`` numbers the stored rows.
+    """
+    if len(v.spread) > 1 << 16:
+        raise ValueError("own + classes must be at most 65536")
+    sent = docs.sparkSession.sparkContext.broadcast(v)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        places, hot = places_of(v), len(v.words)
+        tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        for b in batches:
+            rows: list[tuple] = []
+            for text in utf8(b["text"]):
+                words = spaced_words(text)
+                words.append(END)
+                p = places.of(words)
+                other = Counter([words[i] for i in np.flatnonzero(p >= hot)])
+                rows.append((
+                    len(p), len(p) - other.total(), v.base[p].sum(), v.share[p].sum(), v.symbol[p].astype("<u2").tobytes(),
+                    [{"word": w, "n": c} for w, c in other.items()],
+                ))
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), tail)
+            cells = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([b["id"], *cells], ["id", "n_tokens", "n_hot", "base", "share", "symbols", "tail"])
+
+    return materialize(arrow_map(docs, {"id": key, "text": text}, coded, f"id {kind}, {CODED}").withColumn("row", F.monotonically_increasing_id()), "coded")
+
+
+def symbol_batches(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(symbols, sizes, rows) of whole texts, about ``tokens`` symbols at a time; a text's last symbol is its end."""
+    flat, rows, n = [], [], 0
     for b in batches:
-        for text in utf8(b["text"]):
-            words = spaced_words(text)
-            flat += [v.symbol[places.of(words)], [end]]
-            sizes.append(len(words) + 1)
-            n += sizes[-1]
+        for i, raw in enumerate(b["symbols"].to_pylist()):
+            flat.append(np.frombuffer(raw, "<u2"))
+            rows.append((b, i))
+            n += len(flat[-1])
             if n >= tokens:
-                yield np.concatenate(flat).astype(np.int64), np.array(sizes)
-                flat, sizes, n = [], [], 0
-    if sizes:
-        yield np.concatenate(flat).astype(np.int64), np.array(sizes)
+                yield np.concatenate(flat), np.array([len(x) for x in flat]), rows
+                flat, rows, n = [], [], 0
+    if rows:
+        yield np.concatenate(flat), np.array([len(x) for x in flat]), rows
 
 
-def first_model(docs: DataFrame, sent, v: Vocabulary, settings: Settings, text: str) -> Model:
+def first_model(coded: DataFrame, v: Vocabulary, settings: Settings) -> Model:
     """States from groups of the most frequent words that keep the same company, by their neighbour counts."""
     m, k = min(settings.seeds, settings.own, len(v.words)), settings.states
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(m * m)
-        for flat, _ in symbol_batches(batches, sent.value, 400_000):
+        for flat, _, _ in symbol_batches(batches, 400_000):
             a, b = flat[:-1], flat[1:]
             both = (a < m) & (b < m)
-            found += np.bincount(a[both] * m + b[both], minlength=m * m)
+            found += np.bincount(a[both].astype(np.int64) * m + b[both], minlength=m * m)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["pair", "n"])
 
-    rows = arrow_map(docs, {"text": text}, neighbours, "pair bigint, n double").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = arrow_map(coded, {"symbols": "symbols"}, neighbours, "pair bigint, n double").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(m * m)
     pairs[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     pairs = pairs.reshape(m, m)
@@ -274,15 +306,15 @@ def first_model(docs: DataFrame, sent, v: Vocabulary, settings: Settings, text:
     return Model(even, even, move, emit / emit.sum(axis=0))
 
 
-def baum_welch_round(docs: DataFrame, sent, model: Model, settings: Settings, text: str) -> Model:
+def baum_welch_round(coded: DataFrame, v: Vocabulary, model: Model, settings: Settings) -> Model:
     """One round over all documents: each task sums its expected counts, Spark sums those of all tasks."""
     k, size = settings.states, len(model.emit)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = coded.sparkSession.sparkContext.broadcast(model)
     names = [f"s{i}" for i in range(k)]
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((size + k + 1, k))
-        for flat, sizes in symbol_batches(batches, sent.value, 400_000):
+        for flat, sizes, _ in symbol_batches(batches, 400_000):
             sizes, begins = cut_segments(sizes, settings.segment)
             starts, moves, emissions = Packed(flat, sizes).expected(shared.value, begins)
             sums[:size] += emissions
@@ -291,85 +323,56 @@ def baum_welch_round(docs: DataFrame, sent, model: Model, settings: Settings, te
         at = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(sums[at, i]) for i in range(k)]], ["row", *names])
 
-    rows = arrow_map(docs, {"text": text}, expect, "row bigint, " + ", ".join(f"{n} double" for n in names))
+    rows = arrow_map(coded, {"symbols": "symbols"}, expect, "row bigint, " + ", ".join(f"{n} double" for n in names))
     rows = rows.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     sums = np.zeros((size + k + 1, k))
     sums[rows["row"].to_numpy()] = np.stack([rows[n].to_numpy() for n in names], axis=1) if len(rows) else sums[:0]
     emissions, moves, starts = sums[:size], sums[size : size + k] + 1, sums[-1] + 1
     occupied = emissions.sum(axis=0) + 1
-    emit = emissions + settings.prior * sent.value.spread[:, None]
+    emit = emissions + settings.prior * v.spread[:, None]
     return Model(starts / starts.sum(), occupied / occupied.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def train(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> tuple[DataFrame, Vocabulary, Model]:
-    """Word counts over all of ``docs`` (stored), the vocabulary and the model."""
-    counts = materialize(word_counts(docs, text), "counts")
-    v = vocabulary(counts, settings)
-    sent = docs.sparkSession.sparkContext.broadcast(v)
+def fit(coded: DataFrame, v: Vocabulary, settings: Settings = Settings()) -> Model:
+    """The model of encoded texts; without training texts, all states are alike."""
     if not v.known:
         k, even = settings.states, np.full(settings.states, 1 / settings.states)
-        return counts, v, Model(even, even, np.full((k, k), 1 / k), np.repeat(v.spread[:, None], k, axis=1))
-    model = first_model(docs, sent, v, settings, text)
+        return Model(even, even, np.full((k, k), 1 / k), np.repeat(v.spread[:, None], k, axis=1))
+    model = first_model(coded, v, settings)
     for _ in range(settings.rounds):
-        model = baum_welch_round(docs, sent, model, settings, text)
-    return counts, v, model
+        model = baum_welch_round(coded, v, model, settings)
+    return model
 
 
-def score(docs: DataFrame, trained: tuple[DataFrame, Vocabulary, Model], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score) of whole texts, in log10.
+def score(coded: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of encoded texts, in log10.
 
     The forward recursion runs over whole texts, many at once. Words outside the hot ones are looked up in the stored
     counts by a join; no such word makes up more than 1 in ``hot`` of the corpus, so no key of the join is hot.
     """
-    counts, v, model = trained
-    sent = docs.sparkSession.sparkContext.broadcast((v, model))
-    kind = docs.schema[key].dataType.simpleString()
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model = sent.value
-        places, hot = places_of(v), len(v.words)
-        end = places[END] if v.known else None
-        for b in batches:
-            keys, at, tails, n = [], [], [], 0
-            for key, text in zip(b["id"].to_pylist(), utf8(b["text"])):
-                words = spaced_words(text)
-                p = places.of(words)
-                other = Counter([words[i] for i in np.flatnonzero(p >= hot)])
-                if end is None:  # without training texts even the end is unknown; it has the place of its class
-                    other[END] += 1
-                keys.append(key)
-                tails.append([{"word": w, "n": c} for w, c in other.items()])
-                at.append(np.append(p, places[END] if end is None else end).astype(np.int32))
-                n += len(at[-1])
-                if n >= 600_000:
-                    yield of_group(keys, at, tails, hot, v, model, b["id"].type)
-                    keys, at, tails, n = [], [], [], 0
-            if keys:
-                yield of_group(keys, at, tails, hot, v, model, b["id"].type)
-
-    def of_group(keys, at, tails, hot, v, model, kind) -> pa.RecordBatch:
-        flat, sizes = np.concatenate(at), np.array([len(p) for p in at])
-        packed = Packed(v.symbol[flat], sizes)
-        add = lambda values: np.add.reduceat(values, packed.first)
-        tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        cells = {
-            "id": pa.array(keys, kind), "n_tokens": pa.array(sizes), "n_hot": pa.array(add((flat < hot).astype(np.int64))),
-            "base": pa.array(add(v.base[flat])), "ll": pa.array(packed.log_likelihoods(model) + add(v.share[flat])), "tail": pa.array(tails, tail),
-        }
-        return pa.RecordBatch.from_arrays(list(cells.values()), list(cells))
-
-    schema = f"id {kind}, n_tokens bigint, n_hot bigint, base double, ll double, tail array<struct<word:binary,n:bigint>>"
-    found = materialize(arrow_map(docs, {"id": key, "text": text}, scored, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    words = found.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
+    shared = coded.sparkSession.sparkContext.broadcast(model)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for flat, sizes, rows in symbol_batches(batches, 600_000):
+            ll = pa.array(Packed(flat, sizes).log_likelihoods(shared.value))
+            cells = {c: [b[c][i] for b, i in rows] for c in ("id", "row", "n_tokens", "n_hot", "base", "share")}
+            kinds = rows[0][0].schema
+            yield pa.RecordBatch.from_arrays([*[pa.array(v, kinds.field(c).type) for c, v in cells.items()], ll], [*cells, "ll"])
+
+    kind = coded.schema["id"].dataType.simpleString()
+    columns = ("id", "row", "n_tokens", "n_hot", "base", "share")
+    fields = f"id {kind}, row bigint, n_tokens bigint, n_hot bigint, base double, share double, ll double"
+    found = arrow_map(coded, {c: c for c in (*columns, "symbols")}, likely, fields)
+    words = coded.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
     seen = F.coalesce("c", F.lit(0))
     tails = words.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(seen + RARE)).alias("tail_log"), F.sum(F.when(seen > 0, F.col("n")).otherwise(0)).alias("tail_known")
     )
     log = F.coalesce("tail_log", F.lit(0.0))
     whole = float(np.log10(v.total + RARE * (v.known + 1)))
-    return found.drop("tail").join(tails, "row", "left").select(
-        F.col("id").alias(key), "n_tokens", (F.col("n_hot") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + log - F.col("n_tokens") * whole).alias("base_score"), (F.col("ll") + log).alias("score"),
+    return found.join(tails, "row", "left").select(
+        "id", "n_tokens", (F.col("n_hot") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        (F.col("base") + log - F.col("n_tokens") * whole).alias("base_score"), (F.col("ll") + F.col("share") + log).alias("score"),
     )
 
 
@@ -382,9 +385,11 @@ def score_held_out(docs: DataFrame, key: str = "doc_id", text: str = "text", par
     Null and empty texts are one end; a null key is the text ''; repeated rows count and score each; without training
     texts every token is unknown; no documents give no rows; further columns are not read.
     """
-    trained = train(docs.filter(~held_out(key, parts)), text, settings)
-    out = score(docs, trained, key, text)
-    return out.select(
-        key, held_out(key, parts).alias("held_out"), "n_tokens", "n_known", F.lit(int(trained[1].total)).cast("bigint").alias("train_tokens"),
-        "base_score", "score",
+    counts = materialize(word_counts(docs.filter(~held_out(key, parts)), text), "counts")
+    v = vocabulary(counts, settings)
+    coded = encode(docs, v, key, text)
+    model = fit(coded.filter(~held_out("id", parts)), v, settings)
+    return score(coded, counts, v, model).select(
+        F.col("id").alias(key), held_out("id", parts).alias("held_out"), "n_tokens", "n_known",
+        F.lit(int(v.total)).cast("bigint").alias("train_tokens"), "base_score", "score",
     )
