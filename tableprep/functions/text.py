@@ -43,11 +43,25 @@ DATE_SHAPES = [
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
     (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
     (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^[A-Za-z]{4,9} \d{1,2} \d{4}$", "MMMM d yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} ?(?i:[AP]M)$", "M/d/yyyy h:mm[ ]a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} ?(?i:[AP]M)$", "M/d/yyyy h:mm:ss[ ]a"),
+    (r"^\d{4}-\d{1,2}$", "yyyy-M"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2} ?(?:Z|[+-]\d{2}:?\d{2})$", "yyyy-M-d[ ]['T']H:mm"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2} ?(?:Z|[+-]\d{2}:?\d{2})$", "yyyy-M-d[ ]['T']H:mm:ss"),
+    (
+        r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}\.\d{1,6} ?(?:Z|[+-]\d{2}:?\d{2})$",
+        "yyyy-M-d[ ]['T']H:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
+    ),
 ]
+# Times with a zone keep the clock time that they show; the zone is cut off before parsing.
+ZONE = r"(?<=:\d{2}|\.\d{1,6}) ?(?:Z|[+-]\d{2}:?\d{2})$"
 # The same dates in fewer shapes, for columns whose first value fixes no format.
 ANY_DATE_SHAPES = [
     (
-        r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$",
+        r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?$",
         "yyyy-M-d[[ ]['T']H:mm[:ss][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]]",
     ),
     (r"^\d{4}/\d{1,2}/\d{1,2}(?: \d{1,2}:\d{2}:\d{2})?$", "yyyy/M/d[ H:mm:ss]"),
@@ -56,10 +70,12 @@ ANY_DATE_SHAPES = [
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
-    (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", "[MMMM][MMM] d, yyyy"),
+    (r"^[A-Za-z]{3,9} \d{1,2},? \d{4}$", "[MMMM][MMM] d[,] yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(?::\d{2})? ?(?i:[AP]M)$", "M/d/yyyy h:mm[:ss][ ]a"),
+    (r"^\d{4}-\d{1,2}$", "yyyy-M"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
     (r"^\d{1,2}[ -][A-Za-z]{3,9}[ -]\d{4}$", "d[ ][-][MMMM][MMM][ ][-]yyyy"),
 ]
-SHORTEST_DATE, LONGEST_DATE = 8, 32
 DATE_START = r"^(?:\d{1,4}[-/. ]|[A-Za-z]{3,9} \d)"
 # Strftime directives and their Spark letters.
 STRFTIME = {
@@ -152,22 +168,21 @@ def spark_date_format(strftime: str) -> str:
 
 
 def _parse(c: Column, shapes: list[tuple[str, str]]) -> Column:
-    tried = [F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt))) for shape, fmt in shapes]
+    clock = lambda shape: F.regexp_replace(c, ZONE, "") if "Z|" in shape else c
+    tried = [F.when(c.rlike(shape), F.try_to_timestamp(clock(shape), F.lit(fmt))) for shape, fmt in shapes]
     parsed = F.coalesce(*tried) if len(tried) > 1 else tried[0]
-    likely = F.octet_length(c).between(SHORTEST_DATE, LONGEST_DATE)
-    return F.when(likely, F.when(c.rlike(DATE_START), parsed)).cast("timestamp_ntz")
+    return F.when(c.rlike(DATE_START), parsed).cast("timestamp_ntz")
 
 
 def guess_date_shape(spark, first: str | None) -> int | None:
     """Index of the first date shape that parses a sample text."""
     if first is None:
         return None
-    for i, (shape, fmt) in enumerate(DATE_SHAPES):
-        if re.search(shape, first) and spark.range(1).select(
-            F.try_to_timestamp(F.lit(first), F.lit(fmt)).isNotNull()
-        ).first()[0]:
-            return i
-    return None
+    likely = [i for i, (shape, _) in enumerate(DATE_SHAPES) if re.search(shape.replace("(?i:[AP]M)", "[APap][Mm]"), first)]
+    if not likely:
+        return None
+    parsed = spark.range(1).select(*[_parse(F.lit(first), [DATE_SHAPES[i]]).isNotNull() for i in likely]).first()
+    return next((i for i, fits in zip(likely, parsed) if fits), None)
 
 
 def to_time(c: Column, dtype: T.DataType, shape: int | None = None, fmt: str | None = None) -> Column:

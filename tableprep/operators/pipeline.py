@@ -27,6 +27,10 @@ SCHEMA_VERSION = "tableprep.config.v1"
 AGGREGATES_PER_JOB = 80
 
 
+class StepError(PrepError):
+    """An error that already names its step."""
+
+
 @dataclass
 class FittedStep:
     step_id: int
@@ -106,8 +110,10 @@ class Pipeline:
                     if op.name == "remove_duplicate_rows" and len(steps) - number > 2:
                         # Later fits would each repeat the shuffle.
                         current = materialize(current, "deduplicated")
+            except StepError:
+                raise
             except PrepError as exc:
-                raise PrepError(f"Step {step_id} failed: {exc}") from exc
+                raise StepError(f"Step {step_id} failed: {exc}") from exc
         current = self._flush(current, pending, fitted)
         return FittedPipeline(fitted, self.name, self.mode), current
 
@@ -125,7 +131,7 @@ class Pipeline:
             try:
                 values = op.fit(df, p.columns, p.params, learned[i])
             except PrepError as exc:
-                raise PrepError(f"Step {p.step_id} failed: {exc}") from exc
+                raise StepError(f"Step {p.step_id} failed: {exc}") from exc
             current = op.transform(current, p.columns, values)
             fitted.append(FittedStep(p.step_id, p.step.operation_type, p.columns, dict(p.step.params), values))
         pending.clear()
@@ -259,7 +265,7 @@ class FittedPipeline:
     # --- config ---------------------------------------------------------------------------------
 
     def to_config(self, folder: str | None = None, **envelope: Any) -> dict[str, Any]:
-        """JSON-able config; category maps too large for it are written as tables under ``folder``."""
+        """JSON-able config. With a ``folder``, all category maps are tables under it; without, all are part of the config."""
         steps = []
         for i, step in enumerate(self.steps):
             store = lambda value, path: _encode_value(value, path, folder)
@@ -310,6 +316,7 @@ _MAPS = {"frequent_values": "boolean", "mappings": "bigint", "frequency_maps": "
 
 
 def _encode_value(fitted: dict[str, Any], path: str, folder: str | None) -> dict[str, Any]:
+    """Maps as ``{"kind": "values", "entries": [[value, code], ...]}`` or ``{"kind": "table", "path": ...}``."""
     out = {}
     for key, value in fitted.items():
         if key not in _MAPS:
@@ -317,13 +324,11 @@ def _encode_value(fitted: dict[str, Any], path: str, folder: str | None) -> dict
             continue
         out[key] = {}
         for i, (column, mapping) in enumerate(value.items()):
-            if mapping.inline is not None:
-                out[key][column] = list(mapping.inline) if key == "frequent_values" else mapping.inline
-            elif folder is None:
-                raise PrepError(f"The map of column {column} needs a folder to be saved in")
+            if folder is None:
+                out[key][column] = {"kind": "values", "entries": mapping.entries()}
             else:
-                mapping.table.write.mode("overwrite").parquet(f"{folder}/{path}_{key}_{i}")
-                out[key][column] = {"__table__": f"{path}_{key}_{i}"}
+                mapping.as_table(_MAPS[key]).write.mode("overwrite").parquet(f"{folder}/{path}_{key}_{i}")
+                out[key][column] = {"kind": "table", "path": f"{path}_{key}_{i}"}
     return out
 
 
@@ -332,10 +337,10 @@ def _decode_fitted(operation: str, fitted: dict[str, Any], spark: SparkSession,
     for key in set(fitted) & set(_MAPS):
         out[key] = {}
         for column, stored in fitted[key].items():
-            if isinstance(stored, dict) and set(stored) == {"__table__"}:
-                out[key][column] = CategoryMap(table=spark.read.parquet(f"{folder}/{stored['__table__']}"))
+            if stored["kind"] == "table":
+                out[key][column] = CategoryMap(table=spark.read.parquet(f"{folder}/{stored['path']}"))
             else:
-                out[key][column] = CategoryMap(inline=dict.fromkeys(stored, True) if isinstance(stored, list) else dict(stored))
+                out[key][column] = CategoryMap.of_entries(stored["entries"], _MAPS[key], spark)
     if operation == "rare_category_grouping":
         out.setdefault("include_missing", False)
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -11,8 +12,6 @@ from tableprep.functions.text import text_of
 from tableprep.operators.steps.base import Operation, choice, must_be, present
 from tableprep.plans.maps import CategoryMap, drop_helpers, lookup, sorted_codes
 
-ONE_HOT_LIMIT = 10_000
-
 
 class RareCategoryGrouping(Operation):
     """Values below a train frequency, and values unseen in train, become one label."""
@@ -62,35 +61,47 @@ class RareCategoryGrouping(Operation):
 
 
 class OneHotEncoding(Operation):
-    """One 0/1 column per train category in text order; missing and unseen values are all 0."""
+    """One 0/1 column per train category in text order; missing and unseen values are all 0.
+
+    ``max_categories`` bounds the columns; without it there is one for every category, however many. For columns of
+    very many categories ``output: "index"`` gives one column instead, ``<column>_index``: the place of the 1 (from 0,
+    in text order), or null where all would be 0. Its map is looked up like any other and has no size limit.
+    """
 
     name = "one_hot_encoding"
-    defaults = {"drop_first": False, "max_categories": None, "handle_unknown": "ignore"}
+    defaults = {"drop_first": False, "max_categories": None, "handle_unknown": "ignore", "output": "columns"}
     barrier = True
 
     def check(self, df, columns, params):
         params = super().check(df, columns, params)
         choice(params, "handle_unknown", ["ignore"], self.name)
+        choice(params, "output", ["columns", "index"], self.name)
         return params
 
     def categories(self, columns, params):
         return list(columns)
 
     def fit(self, df, columns, params, learned):
-        limit, categories = params["max_categories"], {}
+        limit, first = params["max_categories"], int(bool(params["drop_first"]))
+        if params["output"] == "index":
+            mappings = {}
+            for n in columns:
+                codes = sorted_codes(learned.values_of(n))
+                codes = codes if limit is None else codes.filter(F.col("code") < int(limit))
+                kept = codes.filter(F.col("code") >= first).withColumn("code", F.col("code") - first)
+                mappings[n] = CategoryMap.learn(kept, learned.sizes.get(n, 0), "one_hot")
+            return {"mappings": mappings, "drop_first": bool(first)}
+        categories = {}
         for n in columns:
-            if limit is None and learned.sizes.get(n, 0) > ONE_HOT_LIMIT:
-                raise PrepError(f"Column {n} has more than {ONE_HOT_LIMIT} categories; set max_categories")
-            ordered = learned.values_of(n).orderBy("value").limit(int(limit) if limit is not None else ONE_HOT_LIMIT)
-            found = [r["value"] for r in ordered.select("value").collect()]
-            categories[n] = found[1:] if params["drop_first"] else found
-        fitted = {"categories": categories, "drop_first": bool(params["drop_first"])}
+            ordered = learned.values_of(n).orderBy("value")
+            ordered = ordered if limit is None else ordered.limit(int(limit))
+            categories[n] = [r["value"] for r in ordered.select("value").collect()][first:]
         created = [name for n in columns for name, _ in self._names(n, categories[n])]
-        remaining = [n for n in df.columns if n not in columns]
-        twice = sorted({n for n in created if created.count(n) > 1 or n in remaining})
+        remaining = set(df.columns) - set(columns)
+        twice = sorted(n for n, times in Counter(created).items() if times > 1 or n in remaining)
         if twice:
             raise PrepError(f"Encoded columns share a name: {', '.join(twice)}")
-        return fitted
+        return {"categories": categories, "drop_first": bool(first)}
 
     def _names(self, column, categories):
         safe = lambda text: "".join(ch if ch.isalnum() or ch == "_" else "_" for ch in text)
@@ -98,6 +109,12 @@ class OneHotEncoding(Operation):
 
     def transform(self, df, columns, fitted):
         shown, encoded = present(df, columns), {}
+        if "mappings" in fitted:
+            out = df
+            for n in shown:
+                helped, code = lookup(out, n, text_of(out, n), fitted["mappings"][n], "bigint")
+                out = drop_helpers(helped.withColumn(f"{n}_index", code), out)
+            return out.drop(*shown)
         for n in shown:
             text = text_of(df, n)
             for name, category in self._names(n, fitted["categories"].get(n, [])):
@@ -130,7 +147,7 @@ class OrdinalEncoding(Operation):
                 mappings[n] = CategoryMap(inline={str(v): i for i, v in enumerate(given)})
             else:
                 size = learned.sizes.get(n, 0)
-                mappings[n] = CategoryMap.learn(sorted_codes(learned.values_of(n), size), size, "ordinal")
+                mappings[n] = CategoryMap.learn(sorted_codes(learned.values_of(n)), size, "ordinal")
         return {"mappings": mappings, "unknown_value": int(params["unknown_value"])}
 
     def transform(self, df, columns, fitted):

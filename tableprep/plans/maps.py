@@ -5,15 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tableprep.functions.columns import ROW_ORDER, col, families, visible
 from tableprep.plans.scratch import materialize, scratch_path
 
 INLINE_VALUES = 1_000
 LITERAL_VALUES = 64
-WINDOW_VALUES = 200_000
-SALTS = 256
 
 
 @dataclass
@@ -38,6 +36,27 @@ class CategoryMap:
         return cls(table=materialize(marked.withColumn("hot", F.coalesce("hot", F.lit(False))), label))
 
 
+    @classmethod
+    def of_entries(cls, entries: list[list[Any]], code_type: str, spark: SparkSession) -> CategoryMap:
+        if len(entries) <= INLINE_VALUES:
+            return cls(inline=dict(entries))
+        schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("code", _sql_type(code_type))])
+        return cls(table=spark.createDataFrame([tuple(e) for e in entries], schema).withColumn("hot", F.lit(False)))
+
+    def entries(self) -> list[list[Any]]:
+        """[value, code] pairs on the driver, for a config that holds its maps itself."""
+        if self.inline is not None:
+            return [[value, code] for value, code in self.inline.items()]
+        return [[r["value"], r["code"]] for r in self.table.orderBy("value").collect()]
+
+    def as_table(self, code_type: str) -> DataFrame:
+        """(value, code, hot) rows."""
+        if self.table is not None:
+            return self.table.select("value", F.col("code").cast(code_type).alias("code"), "hot")
+        schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("code", _sql_type(code_type))])
+        return SparkSession.active().createDataFrame(list(self.inline.items()), schema).withColumn("hot", F.lit(True))
+
+
 def lookup(df: DataFrame, name: str, text: Column, mapping: CategoryMap, code_type: str) -> tuple[DataFrame, Column]:
     """Frame with helper columns, and the looked-up code (null where the value is unknown or missing)."""
     if mapping.inline is not None and len(mapping.inline) <= LITERAL_VALUES:
@@ -63,7 +82,7 @@ def lookup(df: DataFrame, name: str, text: Column, mapping: CategoryMap, code_ty
     # The row-order key, where there is one, tells equal rows apart; the rest is left to adaptive skew splitting.
     kinds = families(df)
     told_by = [ROW_ORDER] if kinds.get(ROW_ORDER, "other") != "other" else [n for n in visible(df) if kinds[n] != "other"]
-    spread = F.pmod(F.xxhash64(*map(col, told_by)), F.lit(SALTS)).cast("string")
+    spread = F.xxhash64(*map(col, told_by)).cast("string")
     with_head = keyed.join(F.broadcast(head), key, "left")
     settled = col(key).isNull() | col(head_code).isNotNull()
     cold = F.when(settled, F.concat(F.lit("__tp_cold_"), spread)).otherwise(col(key))
@@ -81,14 +100,11 @@ def _sql_type(name: str) -> T.DataType:
     return {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}[name]
 
 
-def sorted_codes(values: DataFrame, size: int) -> DataFrame:
+def sorted_codes(values: DataFrame) -> DataFrame:
     """``(value, n)`` plus ``code``: the position of each value in text order.
 
-    Few values use one window. Many are range-partitioned, sorted in place and
-    numbered from per-partition offsets, so no task holds them all.
+    Values are range-partitioned, sorted in place and numbered from per-partition offsets, so no task holds them all.
     """
-    if size <= WINDOW_VALUES:
-        return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("bigint"))
     spark = values.sparkSession
     ranged = values.repartitionByRange("value").sortWithinPartitions("value")
     placed = ranged.withColumn("part", F.spark_partition_id()).withColumn(

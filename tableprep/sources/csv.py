@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
@@ -14,7 +17,7 @@ NA_TOKENS = [
     "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 BOOLEAN_WORDS = ["True", "TRUE", "true", "False", "FALSE", "false"]
-_EXTRA = HIDDEN_PREFIX + "extra"
+_EXTRA, _FILE, _BLOCK = (HIDDEN_PREFIX + part for part in ("extra", "file", "block"))
 COLUMNS_PER_JOB = 20
 
 
@@ -28,26 +31,60 @@ def _has_multi_line_cells(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
 
 
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> the files that begin with it."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    firsts = (
+        lines.filter("block = 0").withColumn("place", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "place").alias("line"))
+        .groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    )
+    return {r["line"]: r["files"] for r in firsts.collect()}  # one row for each different header, with file names
+
+
+def column_names(line: str) -> list[str]:
+    """Names of a header line. A name that came before, in any case, gets ``.1``, ``.2``, ...; a blank one its place."""
+    out: list[str] = []
+    for i, name in enumerate(next(csv.reader([line]), [])):
+        name, times, base = name or f"Unnamed: {i}", 0, name or f"Unnamed: {i}"
+        while name.lower() in {o.lower() for o in out}:
+            times += 1
+            name = f"{base}.{times}"
+        out.append(name)
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, *, multi_line: bool | None = None, row_order: bool = True) -> DataFrame:
     """Header row, missing tokens to null, then integer, double, boolean or text per column.
 
     Files are split unless a cell spans lines (found out when ``multi_line`` is
-    None). ``row_order`` attaches the file position as the row-order key. A row
-    with more cells than the header is an error; missing trailing cells are null.
+    None). Files of a folder are matched by column name: their headers may order
+    the same names differently, other names are an error. ``row_order`` attaches
+    the file position as the row-order key. A row with more cells than the
+    header is an error; missing trailing cells are null.
     """
     try:
-        if spark.read.text(path).limit(1).isEmpty():
+        headers = _headers(spark, path)
+        if not headers:
             raise CsvError("CSV is empty")
         if multi_line is None:
             multi_line = _has_multi_line_cells(spark, path)
-        options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE"}
-        header = spark.read.options(**options).csv(path).columns
     except AnalysisException as exc:
         raise CsvError(f"Could not read CSV: {exc.getCondition() or exc}") from exc
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE"}
+    first = min(headers.items(), key=lambda h: h[1][0])[0]
+    header = column_names(first)
     if not header:
         raise CsvError("CSV has no columns")
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*header, _EXTRA])
-    raw = spark.read.options(**options, enforceSchema=True).schema(schema).csv(path)
+    parts = []
+    for line in sorted(headers, key=lambda h: headers[h][0]):
+        names = column_names(line)
+        if set(names) != set(header):
+            raise CsvError(f"Files of {path} have different columns: {', '.join(sorted(set(names) ^ set(header)))}")
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, _EXTRA])
+        files = path if len(headers) == 1 else headers[line]
+        part = spark.read.options(**options, enforceSchema=True).schema(schema).csv(files)
+        parts.append(part.select(*[col(n) for n in [*header, _EXTRA]], F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK)))
+    raw = reduce(DataFrame.unionByName, parts)
     cells = raw.withColumns({n: F.when(~col(n).isin(NA_TOKENS), col(n)) for n in header})
     types = _infer(cells, header)
 
@@ -63,7 +100,7 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool | None = None,
     if row_order:
         exprs.append(
             F.struct(
-                F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                F.col(_FILE).alias("file_path"), F.col(_BLOCK).alias("file_block_start"),
                 F.monotonically_increasing_id().alias("place"),
             ).alias(ROW_ORDER)
         )

@@ -51,3 +51,19 @@ def test_stats_and_result_tables(spark, tmp_path):
     store_results(df, "one", str(tmp_path / "res"))
     store_results(df.limit(1), "two", str(tmp_path / "res"))
     assert list_results(spark, str(tmp_path / "res"), "one", "id").count() == 3
+
+
+def test_csv_folder_is_read_by_name(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("a,b\n1,x\n2,y\n")
+    (tmp_path / "2.csv").write_text("b,a\nz,3\n")
+    got = read_csv(spark, str(tmp_path), row_order=False)
+    assert dict(got.dtypes) == {"a": "bigint", "b": "string"} and sorted(map(tuple, got.collect())) == [(1, "x"), (2, "y"), (3, "z")]
+    (tmp_path / "3.csv").write_text("a,c\n1,2\n")
+    with pytest.raises(CsvError, match="different columns: b, c"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_csv_repeated_names_stay_apart(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,a,A,,b\n1,2,3,4,5\n")
+    got = read_csv(spark, str(tmp_path / "t.csv"), row_order=False)
+    assert got.columns == ["a", "a.1", "A.2", "Unnamed: 3", "b"] and tuple(got.first()) == (1, 2, 3, 4, 5)

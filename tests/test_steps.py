@@ -175,7 +175,6 @@ def test_category_maps_agree_at_every_size(spark, monkeypatch, literal, inline):
     """Literal, broadcast and hot/cold shuffled lookups give the same codes."""
     monkeypatch.setattr(maps, "LITERAL_VALUES", literal)
     monkeypatch.setattr(maps, "INLINE_VALUES", inline or 3)
-    monkeypatch.setattr(maps, "WINDOW_VALUES", 200_000 if inline else 5)
     df = spark.range(400).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None)
         .otherwise(F.concat(F.lit("v"), (F.col("id") % 40).cast("string"))).alias("c"))
@@ -198,10 +197,10 @@ def test_large_maps_are_saved_as_tables(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(maps, "LITERAL_VALUES", 0)
     df = spark.createDataFrame([(i, f"v{i % 9}") for i in range(50)], "id int, c string")
     fitted, done = run(df, "frequency_encoding", ["c"])
-    with pytest.raises(PrepError, match="folder"):
-        fitted.to_config()
+    whole = FittedPipeline.from_config(json.loads(json.dumps(fitted.to_config())), spark).transform(df)
+    assert sorted(whole.collect()) == sorted(done.collect())
     fitted.save(spark, str(tmp_path / "cfg"))
-    assert "__table__" in load_config(spark, str(tmp_path / "cfg"))["steps"][0]["fitted"]["frequency_maps"]["c"]
+    assert load_config(spark, str(tmp_path / "cfg"))["steps"][0]["fitted"]["frequency_maps"]["c"]["kind"] == "table"
     again = FittedPipeline.load(spark, str(tmp_path / "cfg")).transform(df)
     assert sorted(again.collect()) == sorted(done.collect())
 
@@ -276,3 +275,28 @@ def test_replacement_that_does_not_fit_the_type_becomes_missing(spark):
     df = spark.createDataFrame([(1.0,), (-9.0,)], "v double")
     done = run(df, "replace_placeholder_values", ["v"], placeholders=[-9.0], replacement="none")[1]
     assert [r["v"] for r in done.collect()] == [1.0, None]
+
+
+def test_a_lone_category_of_any_name_replays(spark, tmp_path):
+    df = spark.createDataFrame([(1, "__table__"), (2, "__table__"), (3, None)], "id int, c string")
+    for name, key in (("frequency_encoding", "frequency_maps"), ("ordinal_encoding", "mappings"), ("rare_category_grouping", "frequent_values")):
+        fitted, done = run(df, name, ["c"])
+        assert key in fitted.steps[0].fitted
+        fitted.save(spark, str(tmp_path / name))
+        for again in (FittedPipeline.from_config(fitted.to_config(), spark), FittedPipeline.load(spark, str(tmp_path / name))):
+            assert sorted(again.transform(df).collect(), key=str) == sorted(done.collect(), key=str)
+
+
+def test_errors_name_their_step_once(spark):
+    df = spark.createDataFrame([("a b",), ("a_b",)], "c string")
+    with pytest.raises(PrepError) as caught:
+        run(df, "one_hot_encoding", ["c"])
+    assert str(caught.value).count("failed") == 1
+
+
+def test_one_hot_index_holds_any_number_of_categories(spark):
+    df = spark.range(12_000).select("id", F.concat(F.lit("k"), F.col("id")).alias("c"))
+    fitted = Pipeline([Step("one_hot_encoding", ["c"], {"output": "index", "drop_first": True})]).fit(df)
+    got = {r["id"]: r["c_index"] for r in fitted.transform(df).collect()}
+    order = sorted(f"k{i}" for i in range(12_000))
+    assert got == {i: (p - 1 if p else None) for i, p in ((int(k[1:]), p) for p, k in enumerate(order))}
