@@ -11,15 +11,13 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tableprep.llm.text import arrow_map, plain_words, utf8
+from tableprep.llm.text import arrow_map, kept, plain_words, utf8
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPAN = "array<struct<start:bigint,end:bigint>>"
 SCAN = f"text string, spots {SPAN}, items array<string>"
 RESULT = f"n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans {SPAN}"
 
-_built: dict[str, ahocorasick.Automaton] = {}
-
 
 def item_windows(text: bytes, size: int) -> list[list[bytes]]:
     words = plain_words(text)
@@ -47,14 +45,6 @@ def build(items: list[tuple[str | None, bytes]], size: int) -> ahocorasick.Autom
     return out
 
 
-def built(name: str, items: list[tuple[str | None, bytes]], size: int) -> ahocorasick.Automaton:
-    """The automaton of a part of the items, built once in a Python worker."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = build(items, size)
-    return _built[name]
-
-
 def occurrences(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
     """Merged word ranges that windows cover, and the ids of the items found."""
     merged: list[list[int]] = []
@@ -120,15 +110,14 @@ def find_contamination(
         sent = spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in share])
         last = part == parts - 1
         schema = f"{types}, {RESULT if last else SCAN}"
-        out = arrow_map(out, {c: c for c in out.columns}, _scanner(sent, list(columns), window, last), schema)
+        name = uuid.uuid4().hex
+        out = arrow_map(out, {c: c for c in out.columns}, _scanner(sent, list(columns), window, last, name), schema, name)
     return out.withColumnsRenamed(columns)
 
 
-def _scanner(sent, columns: list[str], window: int, last: bool):
-    name = uuid.uuid4().hex
-
+def _scanner(sent, columns: list[str], window: int, last: bool, name: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = built(name, sent.value, window)
+        automaton = kept(name, lambda: build(sent.value, window))
         for b in batches:
             rows = []
             for raw, spots, before in zip(utf8(b["text"]), b["spots"].to_pylist(), b["items"].to_pylist()):

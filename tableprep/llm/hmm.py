@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tableprep.llm.text import arrow_map, held_out, spaced_words, utf8
+from tableprep.llm.text import arrow_map, held_out, kept, spaced_words, utf8
 from tableprep.plans.scratch import materialize
 
 END = b"\n"  # no word holds white space
@@ -78,14 +78,8 @@ class Vocabulary:
     known: int
 
 
-_places: dict[str, Places] = {}
-
-
 def places_of(v: Vocabulary) -> Places:
-    if v.name not in _places:
-        _places.clear()
-        _places[v.name] = Places(v.words, v.classes)
-    return _places[v.name]
+    return kept(v.name, lambda: Places(v.words, v.classes))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +242,7 @@ def encode(docs: DataFrame, v: Vocabulary, key: str = "doc_id", text: str = "tex
             cells = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b["id"], *cells], ["id", "n_tokens", "n_hot", "base", "share", "symbols", "tail"])
 
-    return materialize(arrow_map(docs, {"id": key, "text": text}, coded, f"id {kind}, {CODED}").withColumn("row", F.monotonically_increasing_id()), "coded")
+    return materialize(arrow_map(docs, {"id": key, "text": text}, coded, f"id {kind}, {CODED}", v.name).withColumn("row", F.monotonically_increasing_id()), "coded")
 
 
 def symbol_batches(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:

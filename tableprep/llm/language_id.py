@@ -151,12 +151,14 @@ def identify(
     domains = _shares(seen.filter("host is not null"), ["domain"], languages)
     domains = domains.select("domain", _smoothed(F.col("n"), flat(overall), strength).alias("domain_share"))
     hosts = _shares(seen.filter("host is not null"), ["host", "domain"], languages).join(domains, "domain")
-    hosts = hosts.select("host", _smoothed(F.col("n"), F.col("domain_share"), strength).alias("host_share"))
+    # Stored, so that their true size decides how they are joined to the texts.
+    hosts = materialize(hosts.select("host", _smoothed(F.col("n"), F.col("domain_share"), strength).alias("host_share")), "hosts")
     suffixes = _shares(seen.filter("suffix is not null"), ["suffix"], languages)
     # P(suffix | language) up to a factor that all languages share: the suffix's share of the language's texts.
     rates = F.zip_with("n", flat([n + strength for n in all_counts]), lambda n, t: n / t)
     level = F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / F.lit(total + strength * size)
     suffixes = suffixes.select("suffix", F.transform(rates, lambda r: F.log((r + 0.1 * level) / (1.1 * level))).alias("suffix_logs"))
+    suffixes = materialize(suffixes, "suffixes")
 
     prior = F.concat(
         F.transform(F.coalesce("host_share", flat(overall)), lambda p: F.log(p * (1 - unknown))), F.array(F.lit(float(np.log(unknown))))

@@ -25,14 +25,14 @@ U = np.uint64
 BITS = 56
 FOLD = 8
 VERIFIED = "a bigint, b bigint, size_a bigint, size_b bigint, both bigint, gap array<bigint>"
-BLOCK_TOKENS, BLOCK_SETS = 1_000_000, 60_000
-RANGE_TOKENS = 2_000_000
+BLOCK_TOKENS, BLOCK_SETS = 600_000, 60_000
+RANGE_TOKENS = 1_000_000
 
 
 class WordKeys(dict):
     """64-bit keys of words; emptied when it holds ``most`` of them."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 

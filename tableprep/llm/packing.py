@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tableprep.llm.text import arrow_map, utf8
+from tableprep.llm.text import arrow_map, kept, utf8
 from tableprep.llm.tokens import WordIds
 
 
@@ -157,7 +157,8 @@ def pack_texts(
         for raw in utf8(b["text"]):
             yield np.append(_words(tokenizer).encode(raw), np.uint32(end_id)).astype(np.uint32), None
 
-    return arrow_map(docs, {"key": key, "text": text}, _packed(examples, limits, cut, with_ids), _schema(kind, with_ids)).withColumnRenamed("key", key)
+    packed = arrow_map(docs, {"key": key, "text": text}, _packed(examples, limits, cut, with_ids), _schema(kind, with_ids), tokenizer)
+    return packed.withColumnRenamed("key", key)
 
 
 def pack_examples(df: DataFrame, key: str, ids: str, loss: str, limits: Limits = Limits(), cut: bool = False, with_ids: bool = True) -> DataFrame:
@@ -177,13 +178,8 @@ def pack_examples(df: DataFrame, key: str, ids: str, loss: str, limits: Limits =
     return arrow_map(df, {"key": key, "ids": ids, "loss": loss}, _packed(examples, limits, cut, with_ids), _schema(kind, with_ids)).withColumnRenamed("key", key)
 
 
-_memory: dict[str, WordIds] = {}
-
-
 def _words(path: str) -> WordIds:
-    if path not in _memory:
-        _memory[path] = WordIds(path)
-    return _memory[path]
+    return kept(path, lambda: WordIds(path))
 
 
 def _schema(kind: str, with_ids: bool) -> str:

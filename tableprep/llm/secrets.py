@@ -108,6 +108,7 @@ def linked_spans(docs: DataFrame, keep: list[str], text: str = "text", scope: in
         .select("row", "part").distinct()
         .groupBy("row").agg(F.collect_list("part").alias("linked"))
     )
+    paired = materialize(paired, "linked")  # its true size decides how it is joined to the rows
     strong = F.filter("spans", lambda s: s["ord"] < 3)
     none = F.array().cast(f"array<{SPAN}>")
     return found.join(paired, "row", "left").select(

@@ -65,13 +65,40 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, build: Callable[[], object]) -> object:
+    """The object of that name that this Python worker keeps between its tasks; it keeps one at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = build()
+    return _kept[name]
+
+
+def begin_task(keeps: str | None) -> None:
+    """Let go of what an earlier operator kept in this worker, unless this one uses it."""
+    if keeps not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def arrow_map(
-    df: DataFrame, columns: dict[str, Column | str], work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, columns: dict[str, Column | str], work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str,
+    keeps: str | None = None,
 ) -> DataFrame:
-    """``mapInArrow`` over the named columns only, so that other columns, whatever their names, are neither read nor sent."""
+    """``mapInArrow`` over the named columns only, so that other columns, whatever their names, are neither read nor sent.
+
+    ``keeps``: the name of the object that ``work`` keeps by :func:`kept`.
+    """
     ship_package(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(keeps)
+        yield from work(batches)
+
     picked = [(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
-    return df.select(*picked).mapInArrow(work, schema)
+    return df.select(*picked).mapInArrow(task, schema)
 
 
 def batch(**columns: pa.Array) -> pa.RecordBatch:
