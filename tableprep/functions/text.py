@@ -169,7 +169,13 @@ def spark_date_format(strftime: str) -> str:
 
 def _parse(c: Column, shapes: list[tuple[str, str]]) -> Column:
     clock = lambda shape: F.regexp_replace(c, ZONE, "") if "Z|" in shape else c
-    tried = [F.when(c.rlike(shape), F.try_to_timestamp(clock(shape), F.lit(fmt))) for shape, fmt in shapes]
+
+    def time(shape: str, fmt: str) -> Column:
+        found = F.try_to_timestamp(clock(shape), F.lit(fmt))
+        # Fixed value: two-digit years from 69 on are of the last century.
+        return F.when(F.year(found) > 2068, found - F.make_interval(years=F.lit(100))).otherwise(found) if fmt.endswith("/yy") else found
+
+    tried = [F.when(c.rlike(shape), time(shape, fmt)) for shape, fmt in shapes]
     parsed = F.coalesce(*tried) if len(tried) > 1 else tried[0]
     return F.when(c.rlike(DATE_START), parsed).cast("timestamp_ntz")
 

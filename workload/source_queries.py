@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tableprep import (
-    FittedPipeline, apply_and_export, ingest_stats, latest_per_key, list_results, profile_table, read_csv, run_history,
-    store_results, table_preview,
+    CsvError, FittedPipeline, apply_and_export, ingest_stats, latest_per_key, list_results, newest_first, profile_table, read_csv,
+    run_history, store_results, table_preview,
 )
 from tableprep.plans.scratch import scratch_path
 from workload import oracle_profile as O
@@ -124,3 +124,47 @@ register(
     "run_history", _history,
     " UNION ALL ".join((_kind("orders", "orders", "o_orderdate", "o_orderkey"), _kind("events", "events", "ts", "event_id"), _kind("customers", "customer", "c_custkey", "c_custkey"))),
 )
+
+
+def _by_name(s, d):
+    """A folder of plain files whose headers order the same names differently."""
+    orders, path = read(s, d, "orders"), scratch_path(s, "named")
+    even, odd = orders.filter("o_orderkey % 2 = 0"), orders.filter("o_orderkey % 2 = 1")
+    even.select("o_orderkey", "o_custkey", "o_orderstatus").write.options(header=True).csv(path)
+    odd.select("o_orderstatus", "o_orderkey", "o_custkey").write.options(header=True).mode("append").csv(path)
+    return flat(read_csv(s, path, row_order=False))
+
+
+register("csv_by_name", _by_name, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+
+
+def _newest(s, d):
+    events = read(s, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    newest = newest_first(events, "at", 25).select("event_id", F.row_number().over(Window.orderBy(F.desc("at"))).alias("place"))
+    return flat(newest)
+
+
+register(
+    "newest_first", _newest,
+    "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM events ORDER BY ts DESC, event_id DESC LIMIT 25",
+)
+
+
+def _bad_inputs(s, d):
+    """One row for each unusable input, with the kind of its error."""
+    path = scratch_path(s, "bad")
+    read(s, d, "region").select("r_regionkey").write.options(header=True).csv(path)
+    read(s, d, "region").select("r_name").write.options(header=True).mode("append").csv(path)
+    rows = []
+    for what, where in (("other columns", path), ("no such path", f"{path}-none")):
+        try:
+            read_csv(s, where)
+        except CsvError:
+            rows.append((what, "refused"))
+    return s.createDataFrame(rows, "input string, outcome string").join(read(s, d, "region").agg(F.count("*").alias("rows_in")))
+
+
+register(
+    "csv_bad_inputs", _bad_inputs,
+    "SELECT input, 'refused' AS outcome, (SELECT count(*) FROM region) AS rows_in FROM (VALUES ('other columns'), ('no such path')) t(input)",
+)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tableprep import FittedPipeline, Pipeline, Step, with_row_order
 from tableprep.operators import charts, preview, profile
+from tableprep.plans.quantiles import exact_quantiles
 from workload import oracle_profile as O
 from workload.registry import register
 from workload.tables import PAIR, dirty_orders, flat, read, sql, text_orders, train_and_test
@@ -360,3 +361,63 @@ register(
     SELECT moment, 'rows' AS measure, n::DOUBLE AS value FROM m UNION ALL SELECT moment, 'columns', 6.0 FROM m
     UNION ALL SELECT moment, 'missing_rate', round(gaps / (n * 6), 4) FROM m""",
 )
+
+
+# --- large maps, many date shapes, bracketed quantiles --------------------------------------------
+
+step_query("one_hot_index", "one_hot_encoding", ["o_custkey"], {"output": "index", "drop_first": True}, ["o_custkey_index"],
+           "CASE WHEN a.code > 0 THEN a.code - 1 END AS o_custkey_index",
+           "cc AS (SELECT o_custkey AS v, row_number() OVER (ORDER BY o_custkey::VARCHAR) - 1 AS code FROM train GROUP BY 1)",
+           "both_sides LEFT JOIN cc a ON a.v = o_custkey")
+register(
+    "config_replay_many_values", applied([Step("frequency_encoding", ["o_custkey"], {"normalize": False})], "o_orderkey", "o_custkey", replay=True),
+    f"""WITH {P}, fr AS (SELECT o_custkey AS v, count(*) AS r FROM train GROUP BY 1)
+    SELECT side, o_orderkey, coalesce(r, 0)::DOUBLE AS o_custkey FROM both_sides LEFT JOIN fr ON v = o_custkey""",
+)
+
+SHAPES = {
+    "zoned": ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", True), "half_day": ("MM/dd/yyyy hh:mm a", True), "named": ("MMM d yyyy", True),
+    "month_only": ("yyyy-MM", False), "short_year": ("MM/dd/yy", True), "utc": ("yyyy-MM-dd HH:mm:ss'Z'", True),
+}
+
+
+def _shaped(spark, folder):
+    orders = read(spark, folder, "orders")
+    return with_row_order(orders.select("o_orderkey", *[F.date_format("o_orderdate", f).alias(n) for n, (f, _) in SHAPES.items()]), "o_orderkey")
+
+
+def _date_parts(spark, folder):
+    step = Step("datetime_extract", list(SHAPES), {"features": ["year", "month", "day"]})
+    return flat(Pipeline([step]).fit_transform(_shaped(spark, folder))[1])
+
+
+register(
+    "datetime_shapes", _date_parts,
+    "SELECT o_orderkey, " + ", ".join(
+        f"year(o_orderdate) AS {n}_year, month(o_orderdate) AS {n}_month, {'day(o_orderdate)' if day else '1::BIGINT'} AS {n}_day"
+        for n, (_, day) in SHAPES.items()
+    ) + " FROM orders",
+)
+register(
+    "datetime_shape_types", lambda s, d: flat(profile.profile_table(_shaped(s, d).drop("o_orderkey")).select("column_name", "inferred_type")),
+    "SELECT column_name, 'datetime' AS inferred_type, FROM (VALUES " + ", ".join(f"('{n}')" for n in SHAPES) + ") t(column_name)",
+)
+
+
+def _bracketed(spark, folder):
+    """The path for tables of any size: sketch, proof of the rank, exact grouping of the bracket."""
+    wanted = {"l_extendedprice": [0.01, 0.25, 0.5, 0.75, 0.99], "l_quantity": [0.1, 0.5, 0.9]}
+    found = exact_quantiles(
+        read(spark, folder, "lineitem"), {n: (F.col(n), q) for n, q in wanted.items()}, direct_rows=0, bracket_values=500, accuracy=100
+    )
+    rows = [(n, q, v) for n, qs in wanted.items() for q, v in zip(qs, found[n])]
+    return flat(spark.createDataFrame(rows, "column_name string, q double, value double"))
+
+
+register(
+    "quantiles_bracketed", _bracketed,
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS column_name, {q}::DOUBLE AS q, round(quantile_cont({n}, {q}), 6) AS value FROM lineitem"
+        for n, qs in (("l_extendedprice", (0.01, 0.25, 0.5, 0.75, 0.99)), ("l_quantity", (0.1, 0.5, 0.9))) for q in qs
+    ),
+)
