@@ -180,15 +180,18 @@ def _parse(c: Column, shapes: list[tuple[str, str]]) -> Column:
     return F.when(c.rlike(DATE_START), parsed).cast("timestamp_ntz")
 
 
-def guess_date_shape(spark, first: str | None) -> int | None:
-    """Index of the first date shape that parses a sample text."""
-    if first is None:
-        return None
-    likely = [i for i, (shape, _) in enumerate(DATE_SHAPES) if re.search(shape.replace("(?i:[AP]M)", "[APap][Mm]"), first)]
-    if not likely:
-        return None
-    parsed = spark.range(1).select(*[_parse(F.lit(first), [DATE_SHAPES[i]]).isNotNull() for i in likely]).first()
-    return next((i for i, fits in zip(likely, parsed) if fits), None)
+def guess_date_shapes(spark, samples: dict[str, str | None]) -> dict[str, int | None]:
+    """Index of the first date shape that parses each sample text; one job for all of them."""
+    likely = [
+        (name, i) for name, text in samples.items() if text is not None for i, (shape, _) in enumerate(DATE_SHAPES)
+        if re.search(shape.replace("(?i:[AP]M)", "[APap][Mm]"), text)
+    ]
+    out: dict[str, int | None] = dict.fromkeys(samples)
+    if likely:
+        row = spark.range(1).select(*[_parse(F.lit(samples[name]), [DATE_SHAPES[i]]).isNotNull().alias(f"p{k}") for k, (name, i) in enumerate(likely)]).first()
+        for (name, i), fits in reversed(list(zip(likely, row))):
+            out[name] = i if fits else out[name]
+    return out
 
 
 def to_time(c: Column, dtype: T.DataType, shape: int | None = None, fmt: str | None = None) -> Column:

@@ -13,12 +13,12 @@ import math
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tableprep.functions.columns import col, count_if, families, head_in_order, nan_to_null, visible
+from tableprep.functions.columns import col, count_if, families, head_in_order, nan_to_null, order_keys, visible
 from tableprep.functions.rules import BOOLEAN_TEXTS, MISSING_TOKENS
 from tableprep.functions.text import (
-    guess_date_shape, is_one_of, iso_time, strip, text_of, to_number, to_time, word_count,
+    guess_date_shapes, is_one_of, iso_time, strip, text_of, to_number, to_time, word_count,
 )
 from tableprep.plans.freq import most_frequent, top_values, value_frequencies
 from tableprep.plans.jobs import side_by_side
@@ -105,24 +105,23 @@ def sample_values(df: DataFrame, columns: list[str] | None = None) -> dict[str,
     columns = columns or visible(df)
     shown = [text_of(df, n).alias(f"v{i}") for i, n in enumerate(columns)]
     head = head_in_order(df, HEAD_ROWS).select(*shown).collect()
-    out = {}
-    for i, name in enumerate(columns):
-        found = [r[i] for r in head if r[i] is not None][:SAMPLE_VALUES]
-        if len(found) < SAMPLE_VALUES and len(head) == HEAD_ROWS:
-            present = df.filter(col(name).isNotNull())
-            found = [r[0] for r in head_in_order(present, SAMPLE_VALUES).select(shown[i]).collect()]
-        out[name] = found
+    out = {name: [r[i] for r in head if r[i] is not None][:SAMPLE_VALUES] for i, name in enumerate(columns)}
+    sparse = [i for i, name in enumerate(columns) if len(out[name]) < SAMPLE_VALUES] if len(head) == HEAD_ROWS else []
+    if sparse:
+        # One job for all columns that the first rows did not fill; each task passes on five values of a column.
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text_of(df, columns[i]).alias("v")) for i in sparse]))
+        tall = df.select(F.struct(*order_keys(df)).alias("place"), cells.alias("cell")).filter("cell.v is not null")
+        rank = F.row_number().over(Window.partitionBy("cell.i").orderBy("place"))
+        found = tall.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_VALUES).select("cell.i", "cell.v", "rank").collect()
+        for i in sparse:
+            out[columns[i]] = [r["v"] for r in sorted((r for r in found if r["i"] == i), key=lambda r: r["rank"])]
     return out
 
 
 def date_shapes(df: DataFrame, samples: dict[str, list[str]]) -> dict[str, int | None]:
     """Date shape of each text column, fixed by its first non-missing value."""
     kinds = families(df)
-    return {
-        n: guess_date_shape(df.sparkSession, values[0] if values else None)
-        for n, values in samples.items()
-        if kinds[n] == "text"
-    }
+    return guess_date_shapes(df.sparkSession, {n: values[0] if values else None for n, values in samples.items() if kinds[n] == "text"})
 
 
 # --- pass 1: everything that needs no shuffle ---------------------------------------------------

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tableprep.functions.columns import PrepError, families, head_in_order
-from tableprep.functions.text import DATE_SHAPES, guess_date_shape, spark_date_format, strip, text_of, to_time, word_count
+from tableprep.functions.columns import PrepError, families, order_keys
+from tableprep.functions.text import DATE_SHAPES, guess_date_shapes, spark_date_format, strip, text_of, to_time, word_count
 from tableprep.operators.steps.base import Operation, col, must_be, new_names, present
 
 DATE_FEATURES = ["year", "month", "day", "day_of_week", "is_weekend"]
@@ -34,10 +34,13 @@ class DatetimeExtract(Operation):
     def fit(self, df, columns, params, learned):
         shapes = {}
         if not params["date_format"]:
-            for n in columns:
-                if families(df)[n] == "text":
-                    first = head_in_order(df.filter(col(n).isNotNull()), 1).select(col(n)).first()
-                    shapes[n] = guess_date_shape(df.sparkSession, first[0] if first else None)
+            kinds, firsts = families(df), {}
+            texts = [n for n in columns if kinds[n] == "text"]
+            if texts:
+                place = F.struct(*order_keys(df))
+                row = df.agg(*[F.min_by(col(n), F.when(col(n).isNotNull(), place)).alias(f"f{i}") for i, n in enumerate(texts)]).first()
+                firsts = dict(zip(texts, row))
+            shapes = guess_date_shapes(df.sparkSession, firsts)
         return {**params, "date_shapes": {n: DATE_SHAPES[i][1] for n, i in shapes.items() if i is not None}}
 
     def transform(self, df, columns, fitted):

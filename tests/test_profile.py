@@ -66,7 +66,7 @@ def test_inferred_text_types(spark, values, expected):
 
 
 def test_any_date_shape_without_a_first_format(spark):
-    from tableprep.functions.text import DATE_SHAPES, guess_date_shape, to_time
+    from tableprep.functions.text import DATE_SHAPES, guess_date_shapes, to_time
     from pyspark.sql import types as T
 
     texts = ["2024-3-5", "2024-03-05 06:07", "2024-03-05T06:07:08", "2024-03-05 06:07:08.25", "2024/03/05", "3/5/2024",
@@ -75,7 +75,7 @@ def test_any_date_shape_without_a_first_format(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     free = {r[0]: r[1] for r in df.select("t", to_time(F.col("t"), T.StringType())).collect()}
     for text in texts:
-        shape = guess_date_shape(spark, text)
+        shape = guess_date_shapes(spark, {"x": text})["x"]
         assert shape is not None, text
         fixed = df.filter(F.col("t") == text).select(to_time(F.col("t"), T.StringType(), shape)).first()[0]
         assert free[text] == fixed and fixed is not None, (text, DATE_SHAPES[shape])
@@ -139,3 +139,13 @@ def test_hot_value_is_preaggregated(spark):
     plan = freq._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and plan.index("Exchange") < plan.index("partial_count")
     assert freq.filter("value = 'hot'").first()["n"] == 4500
+
+
+def test_sparse_columns_are_sampled_in_row_order(spark):
+    from tableprep import with_row_order
+    from tableprep.operators.profile import sample_values
+
+    columns = {f"c{i}": F.when(F.col("id") % 1000 == 300 + i, F.concat(F.lit(f"v{i}-"), F.col("id"))) for i in range(30)}
+    df = with_row_order(spark.range(9000).withColumns(columns).repartition(5), "id")
+    got = sample_values(df, [*columns, "id"])
+    assert all(got[f"c{i}"] == [f"v{i}-{300 + i + 1000 * k}" for k in range(5)] for i in range(30)) and got["id"] == list("01234")
