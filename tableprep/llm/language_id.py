@@ -89,7 +89,7 @@ def _read(df: DataFrame, model: TextModel, effective: int, carry: list[str]) ->
 
 def _shares(df: DataFrame, by: list[str], languages: tuple[str, ...]) -> DataFrame:
     """Texts of each language by their likelihoods alone, for each value of ``by``, as an array."""
-    return df.groupBy(*by).agg(F.array(*[F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)) for i in range(len(languages))]).alias("n"))
+    return df.groupBy(*by).agg(F.array(*[F.sum(F.when(F.col("best") == i, F.col("texts")).otherwise(0.0)) for i in range(len(languages))]).alias("n"))
 
 
 def _smoothed(counts: Column, prior: Column, strength: float) -> Column:
@@ -125,12 +125,14 @@ def identify(
         F.when(code.isin(*languages), code).when(code.isNotNull(), "other").alias("declared"),
         F.nullif(column(suffix), F.lit("")).alias("suffix"), F.nullif(column(host), F.lit("")).alias("host"),
     ).withColumn("domain", F.regexp_extract("host", r"([^.]+\.)?[^.]+$", 0))
-    found = _read(source, model, effective, [*names, "declared", "suffix", "host", "domain"])
+    evidence = ["declared", "suffix", "host", "domain"]
     real = F.slice("ll", 1, size)
     best = F.when(F.col("letters") & (F.array_max("ll") > F.col("ll")[size]), F.array_position(real, F.array_max(real)).cast("int") - 1)
-    found = materialize(found.withColumn("best", best), "evidence")
+    # The counts need no texts; these are read again at the end rather than stored beside their likelihoods.
+    seen = _read(source, model, effective, evidence).withColumn("best", best).filter("best is not null")
+    seen = materialize(seen.select(*evidence, "best").groupBy(*evidence, "best").agg(F.count("*").cast("double").alias("texts")), "evidence")
+    found = _read(source, model, effective, [*names, *evidence]).withColumn("best", best)
 
-    seen = found.filter("best is not null")
     all_counts = _shares(seen, [], languages).first()["n"]
     if all_counts is None or all_counts[0] is None:
         all_counts = [0.0] * size

@@ -65,6 +65,8 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+# Rows that a Python worker turns into objects at a time.
+ROWS = 500
 _kept: dict[str, object] = {}
 
 
@@ -95,7 +97,7 @@ def arrow_map(
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task(keeps)
-        yield from work(batches)
+        yield from work(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
 
     picked = [(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
     return df.select(*picked).mapInArrow(task, schema)

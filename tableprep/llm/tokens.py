@@ -31,7 +31,7 @@ class WordIds(dict):
     The dictionary maps a word to its place in the arrays; at ``most`` words it is emptied and begins anew.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
