@@ -320,19 +320,25 @@ for source, table, target in (("dirty_orders", dirty_orders, STATUS), ("scored",
     )
 
 
-def _listed(s, d):
-    df = scored(s, d)
-    p = profile.profile_table(df, target="label", problem_type="classification")
-    found = issues.issue_list(issues.detect_issues(df, p, "label", "classification"), severity="warning")
-    place = F.monotonically_increasing_id()
-    return flat(found.coalesce(1).withColumn("place", place + 1).select("place", "severity", "category", "title"))
+def _listed(severity=None, category=None):
+    """Issues of a table with all three severities, in the order in which they are listed."""
+    def run(s, d):
+        df = scored(s, d)
+        p = profile.profile_table(df, target="label", problem_type="classification")
+        found = issues.issue_list(issues.detect_issues(df, p, "label", "classification"), severity, category)
+        rows = [(i + 1, r["severity"], r["category"], r["title"]) for i, r in enumerate(found.collect())]  # one row for each issue
+        return s.createDataFrame(rows, "place bigint, severity string, category string, title string")
+    return run
 
 
-register(
-    "issue_list", _listed,
-    _with("scored", f""", iss AS ({O.all_issues('scored', *LABEL)})
-      SELECT row_number() OVER (ORDER BY category, title, issue_id) AS place, severity, category, title FROM iss WHERE severity = 'warning'""", *LABEL),
-)
+SCORED_ISSUES = f"""iss AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS importance FROM ({O.all_issues('scored', *LABEL)}))"""
+for name, pick in (("issue_list", {}), ("issue_list_warnings", {"severity": "warning"}), ("issue_list_leakage", {"category": "leakage"})):
+    chosen = " AND ".join(f"{k} = '{v}'" for k, v in pick.items()) or "true"
+    register(
+        name, _listed(**pick),
+        _with("scored", f""", {SCORED_ISSUES} SELECT row_number() OVER (ORDER BY importance, category, title, issue_id) AS place, severity, category, title
+          FROM iss WHERE {chosen}""", *LABEL),
+    )
 
 # --- drift --------------------------------------------------------------------------------------
 
