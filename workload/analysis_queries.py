@@ -7,9 +7,9 @@ import json
 from pyspark.sql import functions as F
 
 from tableprep.functions.columns import nan_to_null
-from tableprep.functions.rules import CODE_HINTS, ID_HINTS, MISSING_TOKENS, TARGET_HINTS
 from tableprep.operators import charts, drift, issues, profile, recommend, suggest
-from workload import oracle_profile as O
+from workload import fixed, oracle_profile as O
+from workload.fixed import CODE_HINTS, ID_HINTS, MISSING_TOKENS, TARGET_HINTS
 from workload.registry import register
 from workload.tables import (
     PAIR, coded_customers, dirty_orders, doc_quality, flags, flat, read, scored, sql, text_orders, train_and_test,
@@ -472,11 +472,11 @@ def _mapped(table: dict, key: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN {_text(k)} THEN {_text(v) if isinstance(v, str) else v}" for k, v in table.items()) + " END"
 
 
-STEP_PARAMS = {op: json.dumps(v, sort_keys=True) for op, v in recommend.PARAMS.items()}
+STEP_PARAMS = {op: json.dumps(v, sort_keys=True) for op, v in fixed.PARAMS.items()}
 STEPS = f"""
 steps AS (SELECT *, {_mapped(STEP_PARAMS, 'operation_type')} AS params_json,
-    CASE WHEN operation_type = 'drop_columns' THEN CASE WHEN category = 'cardinality' THEN {_text(recommend.DROP_ID_REASON)} ELSE {_text(recommend.DROP_REASON)} END
-      ELSE {_mapped(recommend.REASONS, 'operation_type')} END AS reason
+    CASE WHEN operation_type = 'drop_columns' THEN CASE WHEN category = 'cardinality' THEN {_text(fixed.DROP_ID_REASON)} ELSE {_text(fixed.DROP_REASON)} END
+      ELSE {_mapped(fixed.REASONS, 'operation_type')} END AS reason
   FROM (SELECT iss.*, CASE WHEN category = 'duplicate' THEN 'remove_duplicate_rows'
       WHEN category = 'missingness' AND contains(title, 'Placeholder values') THEN 'replace_placeholder_values'
       WHEN category = 'missingness' AND inferred_type = 'numeric' THEN 'numeric_imputation'
@@ -500,7 +500,7 @@ for source, table, target in (("dirty_orders", dirty_orders, STATUS), ("doc_qual
         _with(source, f"""{base}, gone AS (SELECT DISTINCT affected_columns AS c FROM steps WHERE operation_type = 'drop_columns'),
           kept AS (SELECT operation_type, params_json, affected_columns AS c, min(issue_id) AS i, arg_min(reason, issue_id) AS reason FROM steps
             WHERE operation_type IS NOT NULL AND (operation_type IN ('drop_columns', 'remove_duplicate_rows') OR affected_columns NOT IN (SELECT c FROM gone)) GROUP BY 1, 2, 3)
-          SELECT {_mapped(recommend.STEP_ORDER, 'operation_type')}::BIGINT AS step_order, operation_type, params_json,
+          SELECT {_mapped(fixed.STEP_ORDER, 'operation_type')}::BIGINT AS step_order, operation_type, params_json,
             string_agg(c, '|' ORDER BY i) AS columns, arg_min(reason, i) AS reason FROM kept GROUP BY 1, 2, 3""", *target),
     )
     register(
@@ -509,12 +509,12 @@ for source, table, target in (("dirty_orders", dirty_orders, STATUS), ("doc_qual
         _with(source, f"""{base},
           ranked AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 3 END AS pr FROM steps)
           SELECT CASE min(pr) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'low' END AS priority, category,
-            CASE WHEN operation_type = 'drop_columns' THEN {_mapped(recommend.DROP_TITLES, 'category')} ELSE {_mapped(recommend.TITLES, 'operation_type')} END AS title,
+            CASE WHEN operation_type = 'drop_columns' THEN {_mapped(fixed.DROP_TITLES, 'category')} ELSE {_mapped(fixed.TITLES, 'operation_type')} END AS title,
             arg_min(reason, issue_id) AS rationale, string_agg(affected_columns, '|' ORDER BY issue_id) AS affected_columns,
             string_agg(issue_id::VARCHAR, '|' ORDER BY issue_id) AS issue_ids, operation_type, params_json FROM ranked
           WHERE operation_type IS NOT NULL GROUP BY category, operation_type, params_json
           UNION ALL SELECT CASE severity WHEN 'critical' THEN 'critical' WHEN 'warning' THEN 'high' ELSE 'low' END, category, title,
-            explanation || ' ' || {_text(recommend.ADVICE['target'])}, affected_columns, issue_id::VARCHAR, NULL, NULL
+            explanation || ' ' || {_text(fixed.ADVICE['target'])}, affected_columns, issue_id::VARCHAR, NULL, NULL
           FROM ranked WHERE operation_type IS NULL AND category = 'target'""", *target),
     )
 
@@ -528,7 +528,7 @@ def _advised(s, d):
 register(
     "advisories", _advised,
     f"""WITH {COMPARED},{DRIFT_ISSUES} SELECT CASE WHEN category = 'drift' THEN 'medium' WHEN severity = 'critical' THEN 'critical' ELSE 'high' END AS priority,
-      category, title, explanation || ' ' || {_mapped(recommend.ADVICE, 'category')} AS rationale, affected_columns FROM drift_issues""",
+      category, title, explanation || ' ' || {_mapped(fixed.ADVICE, 'category')} AS rationale, affected_columns FROM drift_issues""",
 )
 
 # --- chart and report tables --------------------------------------------------------------------

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tableprep.functions.rules import BOOLEAN_TEXTS, LEAKAGE_TERMS, MISSING_TOKENS
 from tableprep.functions.text import WHITESPACE
+from workload.fixed import BOOLEAN_TEXTS, LEAKAGE_TERMS, MISSING_TOKENS
 
 COLUMNS = {
     "dirty_orders": [
