@@ -69,7 +69,8 @@ def learn_text(docs: DataFrame, languages: tuple[str, ...], text: str = "text",
     rows = rows.groupBy("who", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sums = np.full((BUCKETS, len(languages)), 0.5)
     sums[rows["bucket"].to_numpy(), rows["who"].to_numpy()] += rows["n"].to_numpy()
-    logs = np.log(sums / sums.sum(axis=0))
+    # A fifth of the mass is even over all buckets: words that the training texts lack count little against a language.
+    logs = np.log(0.8 * sums / sums.sum(axis=0) + 0.2 / BUCKETS)
     return TextModel(languages, np.concatenate([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))], axis=1).astype(np.float32))
 
 
