@@ -26,7 +26,7 @@ BITS = 56
 FOLD = 8
 VERIFIED = "a bigint, b bigint, size_a bigint, size_b bigint, both bigint, gap array<bigint>"
 BLOCK_TOKENS, BLOCK_SETS = 600_000, 60_000
-RANGE_TOKENS = 1_000_000
+RANGE_TOKENS = 700_000
 
 
 class WordKeys(dict):

@@ -46,11 +46,14 @@ def held_out(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts == 0
 
 
+# Rows of an Arrow batch.
+ROWS = 500
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once an application, for sessions whose workers do not have it on their path."""
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, since texts can be long; and, once an application, this package for workers that lack it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -65,8 +68,6 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-# Rows that a Python worker turns into objects at a time.
-ROWS = 500
 _kept: dict[str, object] = {}
 
 
@@ -93,11 +94,11 @@ def arrow_map(
 
     ``keeps``: the name of the object that ``work`` keeps by :func:`kept`.
     """
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task(keeps)
-        yield from work(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+        yield from work(batches)
 
     picked = [(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
     return df.select(*picked).mapInArrow(task, schema)
