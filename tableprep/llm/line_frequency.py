@@ -97,15 +97,15 @@ def frequent_lines(measured: DataFrame, least_texts: int, share: float) -> DataF
 
 def line_frequency_filter(
     docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least_texts: int = 10, share: float = 0.002,
-    least_words: int = 50, most_removed: float = 0.5,
+    least_words: int = 50, most_removed: float = 0.5, least_left: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
     """The verdict of each document and the frequent lines of each host.
 
     A line's key is the hash of its normalised words. A line is above the limits when it stands in at least
     ``least_texts`` distinct texts of its host and in a ``share`` of them, so the rule is alike at every size; exact
     copies of a text count once. A document is depleted when the words outside such lines are fewer than
-    ``least_words``, or more than ``most_removed`` of its words stand on them. First table: ``key``, the text measures,
-    ``removed_words``, ``base_failed`` (too short, or more than half repeated words), ``kept``.
+    ``least_left``, or more than ``most_removed`` of its words stand on them. First table: ``key``, the text measures,
+    ``removed_words``, ``base_failed`` (fewer than ``least_words``, or more than half repeated words), ``kept``.
 
     Null and empty texts have no words and fail; a null host is a host of its own; a null key is a key; repeated rows
     each give a row; empty tables give no rows; further columns are not read. Counting groups pre-aggregate, and the
@@ -125,7 +125,7 @@ def line_frequency_filter(
     )
     gone = F.coalesce("removed_words", F.lit(0).cast("bigint"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    depleted = (F.col("n_words") - gone < least_words) | (gone > most_removed * F.col("n_words"))
+    depleted = (F.col("n_words") - gone < least_left) | (gone > most_removed * F.col("n_words"))
     verdicts = measured.join(removed, ["host", "digest"], "left").select(
         F.col("id").alias(key), *MEASURES, gone.alias("removed_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept")
     )

@@ -52,7 +52,7 @@ base AS (
     coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(v.n, 0)::BIGINT AS removed_words
   FROM docs LEFT JOIN doubles d USING (r) LEFT JOIN repeats p USING (r) LEFT JOIN removed v USING (r))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_words - removed_words < 50 OR removed_words > 0.5 * n_words) AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_words - removed_words < 20 OR removed_words > 0.5 * n_words) AS kept
 FROM base"""
 
 _HEAD = "'<|' || replace(x.role, '<|', '< |') || '|>' || chr(10)"
