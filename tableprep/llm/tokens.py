@@ -31,7 +31,7 @@ class WordIds(dict):
     The dictionary maps a word to its place in the arrays; at ``most`` words it is emptied and begins anew.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
@@ -43,6 +43,8 @@ class WordIds(dict):
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def of_word(self, word: bytes) -> list[int]:
+        if word.isalpha():  # ASCII letters alone are one piece
+            return [t.id for t in self.model.tokenize(word.lower().decode())]
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and "<|" not in text:
             out = []
