@@ -46,23 +46,30 @@ def host_links(pages: DataFrame, host: Column, html: str) -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(kind, host, score): personalised PageRank of ``trust`` along the links and of ``distrust`` against them.
+    """(kind, host, score, part): ``trust`` flows along the links, ``distrust`` against them, both in the same jobs.
 
-    ``seeds``: (kind, host). Both kinds run in the same jobs. Restarts go to the seeds evenly; so does the rank of hosts
-    without links onward. Scores are shares of one seed's restart, so they do not depend on the number of seeds. Stops
-    when no rank moves, else after ``rounds`` rounds, when at most ``damping ** rounds`` of the rank is still open.
+    ``seeds``: (kind, host). ``score`` is personalised PageRank: restarts go to the seeds evenly; so does the rank of
+    hosts without links onward. Scores are shares of one seed's restart, so they do not depend on the number of seeds,
+    but a seed's score is divided among its neighbours. ``part`` is not: a seed has 1, another host ``damping`` times
+    the mean over its own links, by weight, of what they lead to (distrust) or come from (trust). Stops when no rank
+    moves, else after ``rounds`` rounds, when at most ``damping ** rounds`` of either is still open.
     """
     onward = links.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "weight").unionAll(
         links.select(F.lit("distrust"), F.col("target"), F.col("source"), "weight")
     )
-    total = onward.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
-    steps = materialize(onward.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("total")).alias("part")), "steps")
+    given = onward.groupBy("kind", "host").agg(F.sum("weight").alias("given"))
+    taken = onward.groupBy("kind", "to").agg(F.sum("weight").alias("taken"))
+    weights = onward.join(given, ["kind", "host"]).join(taken, ["kind", "to"])
+    rates = [(F.col("weight") / F.col(c)).alias(c) for c in ("given", "taken")]
+    steps = materialize(weights.select("kind", "host", "to", *rates), "steps")
     number = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # two rows at most
-    base = seeds.select("kind", "host", F.lit(1.0).alias("score"))
+    base = seeds.select("kind", "host", F.lit(1.0).alias("score"), F.lit(1.0).alias("part"))
     rank = base
     for _ in range(rounds):
-        moved = rank.join(steps, ["kind", "host"]).groupBy("kind", "to").agg((damping * F.sum(F.col("score") * F.col("part"))).alias("score"))
-        moved = materialize(moved.select("kind", F.col("to").alias("host"), "score"), "moved")
+        moved = rank.join(steps, ["kind", "host"]).groupBy("kind", "to").agg(
+            (damping * F.sum(F.col("score") * F.col("given"))).alias("score"), (damping * F.sum(F.col("part") * F.col("taken"))).alias("part")
+        )
+        moved = materialize(moved.select("kind", F.col("to").alias("host"), "score", "part"), "moved")
         sums = {r["kind"]: r["s"] for r in moved.groupBy("kind").agg(F.sum("score").alias("s")).collect()}
         if not sums:
             break
@@ -70,7 +77,8 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 20, damping: flo
         back = F.lit(None).cast("double")
         for kind, n in number.items():
             back = F.when(F.col("kind") == kind, F.lit((n - sums.get(kind, 0.0)) / n)).otherwise(back)
-        rank = moved.unionByName(base.withColumn("score", back)).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        # No other host's part reaches the 1 of a seed.
+        rank = moved.unionByName(base.withColumn("score", back)).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("part").alias("part"))
     return rank
 
 
@@ -78,11 +86,13 @@ def judge_urls(
     pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", html: str = "html", rounds: int = 20,
     damping: float = 0.85, least: float = 0.01,
 ) -> DataFrame:
-    """Per page: ``key``, ``host``, ``path``, ``rule``, ``verdict``, and its host's ``trust`` and ``distrust``.
+    """Per page: ``key``, ``host``, ``path``, ``rule``, ``verdict``, and its host's ``trust``, ``distrust`` and parts of both.
 
     The longest fitting rule decides. For the rest: a host is a trusted (blocked) seed if rules allow (block) more than
     half of its pages. Trust flows from trusted seeds to the hosts that they link; distrust from blocked seeds to the
-    hosts that link to them. A host is blocked if its distrust is at least ``least`` and more than its trust.
+    hosts that link to them. A host is blocked if its ``distrust_part`` is at least ``least`` and more than its
+    ``trust_part``. Both are means over the host's own links (see :func:`propagate`), so it does not matter how many
+    others link a blocked host or how large they are; ``trust`` and ``distrust`` are the ranks, for information.
 
     A null or malformed url has an empty host and path, fits no rule, and is allowed; such pages give no links. A null
     html has no links; repeated rows each count and give a row; no pages give no rows; further columns are not read.
@@ -96,10 +106,12 @@ def judge_urls(
     kind = F.when(F.col("allowed") > 0.5, "trust").when(F.col("blocked") > 0.5, "distrust")
     seeds = materialize(hosts.select(kind.alias("kind"), "host").filter("kind is not null"), "seeds")
     rank = propagate(host_links(pages, host_of(address), html), seeds, rounds, damping)
-    scores = rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
-    trust, distrust = (F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust"))
-    method = F.when((distrust >= least) & (distrust > trust), "block").otherwise("allow")
+    columns = {"trust": ("trust", "score"), "distrust": ("distrust", "score"), "trust_part": ("trust", "part"), "distrust_part": ("distrust", "part")}
+    scores = rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0.0)).alias(name) for name, (k, c) in columns.items()])
+    held = {name: F.coalesce(name, F.lit(0.0)) for name in columns}
+    bad, good = held["distrust_part"], held["trust_part"]
+    method = F.when((bad >= least) & (bad > good), "block").otherwise("allow")
     return judged.join(scores, "host", "left").select(
         F.col("key").alias(key), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"),
-        trust.alias("trust"), distrust.alias("distrust"),
+        *[c.alias(name) for name, c in held.items()],
     )

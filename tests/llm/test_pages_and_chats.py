@@ -92,6 +92,24 @@ def test_verdicts_equal_brute_force(spark):
     assert found_verdicts(df.limit(0)) == []
 
 
+@pytest.mark.parametrize("others", [0, 40, 1000])
+def test_linkers_of_a_blocked_host_are_blocked_however_many_there_are(spark, others):
+    """Small linkers beside one of 5,000 pages; hosts that trust reaches, or with a small part of bad links, stay."""
+    bad = LINK.format("http://bad.net/")
+    pages = [(f"http://small{i}.com/", bad) for i in range(others + 1)] + [("http://bad.net/", "")]
+    pages += [("http://hot.com/", bad)] * 5000
+    pages += [("http://second.com/", LINK.format("http://small0.com/"))]
+    pages += [("http://good.example.net/en/", LINK.format("http://friend.com/") + LINK.format("http://other.com/"))]
+    pages += [("http://friend.com/", bad + LINK.format("http://other.com/")), ("http://other.com/", "")]
+    pages += [("http://many.com/", "".join(LINK.format(f"http://leaf{i}.com/") for i in range(150)) + bad)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string").repartition(3)
+    got = {r["host"]: r for r in url_filter.judge_urls(df, RULES).collect()}
+    stay = {"good.example.net", "friend.com", "other.com", "many.com"}
+    assert {h for h, r in got.items() if r["verdict"] == "allow"} == stay
+    assert got["hot.com"]["distrust_part"] == got["small0.com"]["distrust_part"] == pytest.approx(0.85)
+    assert got["second.com"]["distrust_part"] == pytest.approx(0.85**2) and got["friend.com"]["distrust_part"] == pytest.approx(0.425)
+
+
 def test_verdicts_of_the_pages(spark, small):
     assert found_verdicts(spark.read.parquet(f"{small}/pages.parquet")) == brute_verdicts([(r["page_id"], r["url"], r["html"]) for r in rows_of(small, "pages")])
 
