@@ -102,8 +102,8 @@ def line_frequency_filter(
     """The verdict of each document and the frequent lines of each host.
 
     A line's key is the hash of its normalised words. A line is above the limits when it stands in at least
-    ``least_texts`` distinct texts of its host and in a ``share`` of them, so the rule is alike at every size; exact
-    copies of a text count once. A document is depleted when the words outside such lines are fewer than
+    ``least_texts`` distinct texts of its host and in a ``share`` of them, which asks for more texts from
+    ``least_texts / share`` texts of a host on; exact copies of a text count once. The query's SQL states this rule. A document is depleted when the words outside such lines are fewer than
     ``least_left``, or more than ``most_removed`` of its words stand on them. First table: ``key``, the text measures,
     ``removed_words``, ``base_failed`` (fewer than ``least_words``, or more than half repeated words), ``kept``.
 
