@@ -7,7 +7,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from tableprep.llm import decontamination, language_id, ngram_join, packing, secrets
 from tableprep.llm.text import numbered, restored
@@ -24,19 +25,35 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return restored(found.filter("kept"), names)
 
 
+def row_key(doc_id: Column, text: Column, kind: DataType) -> Column:
+    """The row's id, then a hash of its text, as text whose order is that of the ids, nulls last.
+
+    Whole numbers are written in 16 digits that sort as they do, other ids as their text.
+    """
+    if isinstance(kind, IntegralType):
+        shown = F.lpad(F.hex(doc_id.cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    else:
+        shown = doc_id.cast("string")
+    text_hash = F.base64(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)))
+    return F.concat(F.when(doc_id.isNotNull(), F.concat(F.lit("a"), shown)).otherwise(F.lit("b")), F.lit("\0"), text_hash)
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by near copies, the one of the smallest id stays; of rows of one id, one stays.
+    """Of documents connected by near copies, the one of the smallest id stays, rows without an id last.
 
-    Rows without an id stay: there is no id to drop them by.
+    Rows are told apart by id and text, see :func:`row_key`: rows of one id with unrelated texts all stay, and rows
+    without an id are reduced like others. Of rows alike in both, one stays.
     """
-    groups = materialize(ngram_join.near_duplicates(docs), "groups")
+    source, names = numbered(docs)
+    source = source.withColumn("row", row_key(F.col(names["doc_id"]), F.col(names["text"]), docs.schema["doc_id"].dataType))
+    groups = materialize(ngram_join.near_duplicates(source, "row", names["text"]), "groups")
     free_shuffles(spark)
-    # Most documents are alone with their id and need no entry.
-    ids = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    listed = materialize(ids.filter("n > 1 or component_id <> doc_id"), "listed")
-    alone = docs.join(listed.select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(listed.filter("component_id = doc_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return alone.unionByName(repeated)
+    # Most rows are alone with their key and need no entry.
+    keys = groups.groupBy("row").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    listed = materialize(keys.filter("n > 1 or component_id <> row"), "listed")
+    alone = source.join(listed.select("row"), "row", "left_anti")
+    repeated = source.join(listed.filter("component_id = row").select("row"), "row", "left_semi").dropDuplicates(["row"])
+    return restored(alone.unionByName(repeated), names)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

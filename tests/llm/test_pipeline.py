@@ -3,10 +3,11 @@
 import collections
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tableprep.llm.tokens import WordIds
-from tests.llm.conftest import ODD, rows_of
+from tests.llm.conftest import ODD, prose, rows_of
 from tests.llm.test_join_and_packing import brute_components
 from tests.llm.test_text_rules import brute_contamination, brute_spans
 
@@ -73,3 +74,19 @@ def test_stages_with_odd_rows(spark, odd, nothing, small):
     # Texts without letters or in no known language are gone, of equal and near texts one is left, a row without an id stays.
     assert ids == collections.Counter([4, 6, 7, 9, 11, None])
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).select("doc_id").distinct().count() == 6
+
+
+def test_join_stage_tells_rows_of_one_id_apart(spark, small):
+    """Rows of one id with different texts, and copies without an id."""
+    a, b, c, d = (prose(i, 120) for i in range(10, 14))
+    near = b.replace("river", "rivers", 1) + " end"
+    rows = [(5, a), (5, near), (-3, b), (7, c), (7, d), (7, d), (None, near), (None, a), *[(None, prose(14, 120))] * 3, (None, prose(14, 120) + " end"), (20, prose(15, 120)), (100, prose(15, 120))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, small)
+    assert got.columns == docs.columns
+    found = collections.Counter(map(tuple, got.collect()))
+    of_none = [k for k in found if k[0] is None]
+    assert len(of_none) == 1 and of_none[0][1].startswith(prose(14, 120)) and found.pop(of_none[0]) == 1
+    assert found == collections.Counter([(5, a), (-3, b), (7, c), (7, d), (20, prose(15, 120))])
+    names = docs.withColumn("doc_id", F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    assert dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, names, small).count() == 6
