@@ -45,6 +45,11 @@ class TextModel:
             return [0.0] * self.logs.shape[1]
         return (self.logs[at].sum(axis=0, dtype=float) * (min(len(at), effective) / len(at))).tolist()
 
+    def untrained(self) -> tuple[str, ...]:
+        """Languages without training texts: their windows are as even as those of none, so texts say nothing of them."""
+        even = np.abs(self.logs[:, :-1] - self.logs[:, -1:]).max(axis=0) < 1e-4
+        return tuple(x for x, e in zip(self.languages, even) if e)
+
 
 def declared_code(column: Column) -> Column:
     """Primary part of a language tag in lower case; null if there is none."""
@@ -111,7 +116,8 @@ def identify(
     its texts, smoothed towards those of its domain (the last two parts of its name), those towards all texts. All
     are grouped counts over the whole table, by the language that a text shows by itself. A document is kept if the
     most probable language is one of ``wanted`` (all languages of the model) with ``least`` probability, and if the
-    text has letters.
+    text has letters. Where a wanted language has no training texts, nothing speaks against a document that no
+    language's windows explain and that declares such a language or none: it is kept too, whatever its probability.
 
     A null or missing piece of evidence says nothing; a null or empty text has no letters and is rejected, its language
     comes from the rest; repeated rows count and return each; no documents give no rows; ties go to the language named
@@ -174,11 +180,14 @@ def identify(
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     label = F.array(*[F.lit(x) for x in (*languages, UNKNOWN)])
     language = F.element_at(label, F.array_position("logs", top).cast("int"))
+    unseen = [x for x in model.untrained() if x in (wanted or languages)]
+    unjudged = F.col("best").isNull() & (F.col("declared").isNull() | F.col("declared").isin(*unseen)) if unseen else F.lit(False)
     out = joined.select(
-        *names, language.alias("language"), posterior.alias("posterior"), F.get(label, F.coalesce("best", F.lit(size))).alias("text_language"), "letters"
+        *names, language.alias("language"), posterior.alias("posterior"), F.get(label, F.coalesce("best", F.lit(size))).alias("text_language"), "letters",
+        unjudged.alias("unjudged"),
     )
-    kept = F.col("letters") & F.col("language").isin(*(wanted or languages)) & (F.col("posterior") >= least)
-    return out.withColumn("kept", kept).drop("letters").withColumnsRenamed(names)
+    kept = F.col("language").isin(*(wanted or languages)) & (F.col("posterior") >= least)
+    return out.withColumn("kept", F.col("letters") & (kept | F.col("unjudged"))).drop("letters", "unjudged").withColumnsRenamed(names)
 
 
 def page_evidence(url: str = "url", html: str = "html") -> dict[str, Column]:

@@ -179,6 +179,25 @@ def test_language_odd_rows(odd, nothing, spark):
     assert language_id.identify(df, model, ["page_id"], **language_id.page_evidence()).count() == 4
 
 
+def test_documents_of_languages_without_training_texts_are_kept(spark, small):
+    """No row declares a language; then none declares one of the four, whose texts no other language explains."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = [(-1, "12 34", None, "a"), (-2, None, None, "a")]
+    bare = docs.withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame(odd, docs.schema))
+    got = {r["doc_id"]: r["kept"] for r in language_id.identify(bare, language_id.learn_text(bare, LANGUAGES), ["doc_id"]).collect()}
+    assert len(got) == docs.count() + 2 and {k for k, v in got.items() if not v} == {-1, -2}
+
+    strange = "щрж ълю фэц"
+    rows = [(-3, strange, None, "a"), (-4, strange, "es", "a"), (-5, strange, "en", "a"), (-6, strange, "xx", "a")]
+    known = docs.filter("lang <> 'es'")
+    model = language_id.learn_text(known, LANGUAGES)
+    assert model.untrained() == ("es",)
+    some = known.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = {r["doc_id"]: r["kept"] for r in language_id.identify(some, model, ["doc_id"]).filter("doc_id < 0").collect()}
+    assert got[-3] and got[-4] and not got[-6]
+    assert language_id.learn_text(docs, LANGUAGES).untrained() == ()
+
+
 def test_tables_learn_a_pairwise_interaction():
     """Neither feature tells anything alone; held-out rows must be told by both."""
     rng = np.random.default_rng(0)
