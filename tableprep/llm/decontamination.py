@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tableprep.llm.text import arrow_map, kept, plain_words, utf8
+from tableprep.plans.scratch import materialize
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPAN = "array<struct<start:bigint,end:bigint>>"
@@ -85,13 +86,15 @@ def _merge(ranges: list[list[int]]) -> list[list[int]]:
 
 def find_contamination(
     docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, automaton_bytes: int = 64 << 20,
+    window: int = 10, automaton_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Per document (columns ``keep``): words, words inside any occurrence of an item's window, items found, spans.
 
     A window is ``window`` consecutive words of an item; a shorter item is one window. The items are sent to the
-    executors in parts of about ``automaton_bytes`` of text, whatever their total size: each part is scanned in turn,
-    one pass over the texts for a part, so a benchmark of ordinary size takes one pass. No row is shuffled.
+    executors in parts of about ``automaton_bytes`` of text, whatever their total size; an automaton takes some 440 bytes
+    of memory for each of the text. Each part is scanned in turn, one pass over the texts for a part, whose result is
+    stored, so that a worker never has the automata of two parts; a benchmark of up to one part takes one pass and
+    stores nothing. An item is never split over parts. No row is shuffled.
 
     Null and empty texts have no words and hit nothing; null and empty items have no window; an item without an id
     marks words but is not listed; repeated items count once; repeated documents each give a row; no items or no
@@ -106,6 +109,8 @@ def find_contamination(
     types = ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in columns)
     out = kept.withColumns({"spots": F.lit(None).cast(SPAN), "items": F.lit(None).cast("array<string>")})
     for part in range(parts):
+        if part:
+            out = materialize(out, "scanned")
         share = texts.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
         sent = spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in share])
         last = part == parts - 1

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import inspect
+import random
 import re
 
 import duckdb
@@ -73,6 +75,18 @@ def test_contamination_equals_brute_force(spark, window, size):
         assert sum(len(plain_words(texts[r["doc_id"]][s["start"] : s["end"]])) for s in r["spans"]) == r["n_hit"]
 
 
+def test_parts_of_items_bound_a_workers_memory(spark):
+    """By the default an automaton stays below 600 MB, and a worker has that of one part only."""
+    rng = random.Random(0)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(5000))
+    size = decontamination.build([("1", text.encode())], 10).get_stats()["total_size"]
+    assert size / len(text) * inspect.signature(decontamination.find_contamination).parameters["automaton_bytes"].default < 600e6
+    docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    found = decontamination.find_contamination(docs, items, ["doc_id"], window=3, automaton_bytes=100)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_contamination_odd_rows(odd, nothing, spark):
     items = spark.createDataFrame([(1, "one two three"), (2, "x" * 100_000)], "item_id bigint, text string")
     got = {(r["doc_id"], r["n_hit"]) for r in decontamination.find_contamination(odd, items, ["doc_id", "keep_0", "items"]).select("doc_id", "n_hit").collect()}
