@@ -10,15 +10,16 @@ TURN = "struct<role:string,text:string>"
 def conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(key, turns): each conversation's turns in order; equal rows count once, turns of one number go by role and text.
 
-    A null role is a user's, a null text is empty, a null number comes first, a null key is a conversation.
+    A null role is a user's, a null text is empty, a null number comes first, a null key is a conversation. Equal rows
+    are removed before the grouping, in all tasks, so a conversation's cell holds and sorts different turns only.
     """
-    said = F.struct(
-        F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("user")).alias("role"),
+    said = turns.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("user")).alias("role"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
-    )
-    ordered = F.array_distinct(F.array_sort(F.collect_list(said)))
-    return turns.groupBy(F.col(f"`{key}`").alias(key)).agg(ordered.alias("all")).select(
-        key, F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
+    ).distinct()
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return said.groupBy("key").agg(ordered.alias("all")).select(
+        F.col("key").alias(key), F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
     )
 
 

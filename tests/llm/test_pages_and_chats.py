@@ -157,3 +157,12 @@ def test_conversations_in_order(spark):
     pairs = {r["conv_id"]: ([tuple(t) for t in r["chosen"]], [tuple(t) for t in r["rejected"]]) for r in preferences.stale_reply_pairs(talks).collect()}
     assert pairs[3] == ([U("q"), A("r"), U("s"), A("t")], [U("q"), A("r"), U("s"), A("r")])
     assert pairs[1] == ([U("a"), A("b")], [U("a"), A("a")]) and pairs[None][0] == pairs[None][1]
+
+
+def test_equal_turns_are_removed_before_grouping(spark):
+    """Many copies of a turn in one conversation reach its cell once."""
+    rows = [(None, i % 3, "user", f"t{i % 3}") for i in range(3000)]
+    talks = preferences.conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3))
+    assert [tuple(t) for t in talks.first()["turns"]] == [U("t0"), U("t1"), U("t2")]
+    plan = talks._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan and plan.count("Aggregate [") == 2
