@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprep.llm import decontamination, gam, hmm, language_id, line_frequency, ngram_join, oracles, packing, preferences, secrets, url_filter
+from tableprep.llm import byte_bpe, decontamination, gam, hmm, language_id, line_frequency, ngram_join, oracles, packing, preferences, secrets, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -93,6 +93,17 @@ def pages_language(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "pages"), model, ["page_id"], **language_id.page_evidence())
 
 
+@query
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.encode(table(spark, folder, "documents"), ranks, pattern).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), "ids",
+    )
+    found = byte_bpe.decode(coded, ranks, pattern, ["doc_id", "n_tokens", "ids_sha256"])
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
