@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprep.llm import byte_bpe, decontamination, gam, hmm, language_id, line_frequency, ngram_join, oracles, packing, preferences, secrets, url_filter
+from tableprep.llm import byte_bpe, decontamination, fill_middle, gam, hmm, language_id, line_frequency, ngram_join, oracles, packing, preferences, secrets, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -104,6 +104,15 @@ def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op12_displacement(spark: SparkSession, folder: str) -> DataFrame:
+    shown = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    made = made.select(*shown, "output", F.sha2("output", 256).alias("output_sha256"))
+    found = fill_middle.restore(made, [*shown, "output_sha256"])
+    return found.select(*shown, "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
@@ -111,6 +120,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op3_decontamination"] = oracles.DECONTAMINATION
 ORACLES["op4_line_frequency"] = oracles.LINE_FREQUENCY
+ORACLES["op12_displacement"] = oracles.DISPLACEMENT
 ORACLES["op7_ngram_join"] = oracles.NGRAM_JOIN
 ORACLES["op8_preferences"] = oracles.PREFERENCES
 if corpus_pipeline.ORACLE_SQL:
