@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprep.llm import byte_bpe, decontamination, fill_middle, gam, hmm, language_id, line_frequency, ngram_join, oracles, packing, preferences, secrets, url_filter
+from tableprep.llm import byte_bpe, decontamination, fill_middle, gam, hmm, language_id, line_frequency, ngram_join, oracles, packing, preferences, secrets, url_filter, whitening
 
 QUERIES, ORACLES = {}, {}
 
@@ -104,6 +104,21 @@ def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op11_polarisation(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    model = whitening.fit_whitening(vectors)
+    found = whitening.whiten(vectors, model).select(
+        "vec_id", F.posexplode("whitened").alias("place", "whitened"), F.expr("try_cast(deviation AS bigint)").alias("deviation")
+    )
+    shares = [float(e) for e in model.explained] if model else []
+    return found.select(
+        "vec_id", (F.col("place") + 1).cast("int").alias("component"), F.lit(model.n if model else 0).cast("bigint").alias("n"), "deviation", "whitened",
+        F.element_at(F.lit(shares).cast("array<double>"), F.col("place") + 1).alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
 @query
 def op12_displacement(spark: SparkSession, folder: str) -> DataFrame:
     shown = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
