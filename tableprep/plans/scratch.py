@@ -5,14 +5,17 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tableprep.functions.columns import PrepError
 
 _owned: set[str] = set()
+# Tables made in the running call of :func:`materialize_alone`.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -69,10 +72,31 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once and read it back: lineage is cut and its size is known to the planner."""
     path = scratch_path(df.sparkSession, label)
+    if _made.get() is not None:
+        _made.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Store what ``make`` returns and drop the tables and shuffles that it made on the way.
+
+    Tables of other threads that ``make`` starts stay until the application ends.
+    """
+    outer = _made.set([])
+    try:
+        out = materialize(make(), label)
+        *inner, last = _made.get()
+    finally:
+        _made.reset(outer)
+    if _made.get() is not None:
+        _made.get().append(last)
+    for path in inner:
+        drop_path(spark, path)
+    free_shuffles(spark)
+    return out
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Spark deletes shuffle files once the driver's garbage collector has dropped their plans; this asks for it.
 

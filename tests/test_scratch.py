@@ -32,3 +32,18 @@ def test_one_dropped_path_leaves_the_others(spark):
         spark.range(2).write.parquet(p)
     scratch.drop_path(spark, paths[0])
     assert spark.read.parquet(paths[1]).count() == 2
+
+
+def test_materialize_alone_drops_what_was_made_on_the_way(spark):
+    import os
+
+    from tableprep.plans.scratch import materialize, materialize_alone, scratch_dir
+
+    def make():
+        inner = materialize(spark.range(5), "inner-alone")
+        nested = materialize_alone(spark, lambda: materialize(inner, "deep-alone").filter("id > 1"), "nested-alone")
+        return nested.filter("id > 2")
+
+    assert sorted(r["id"] for r in materialize_alone(spark, make, "outer-alone").collect()) == [3, 4]
+    left = [f.split("-")[0] for f in os.listdir(scratch_dir(spark)) if "-alone-" in f]
+    assert left == ["outer"]
