@@ -90,3 +90,19 @@ def test_join_stage_tells_rows_of_one_id_apart(spark, small):
     assert found == collections.Counter([(5, a), (-3, b), (7, c), (7, d), (20, prose(15, 120))])
     names = docs.withColumn("doc_id", F.concat(F.lit("x"), F.col("doc_id").cast("string")))
     assert dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, names, small).count() == 6
+
+
+def test_join_stage_takes_files_in_slices(spark, small, tmp_path, monkeypatch):
+    """Several files and bitmaps, slices of few bitmaps, and no text in a shuffle."""
+    rows = [(i, prose(50 + i % 60, 40), "c") for i in range(200)] + [(None, prose(50, 40), "c"), (3, "", "c"), (3, "", "c")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, _metadata string").repartition(7).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    for covered, bitmaps in ((8, 2),):
+        monkeypatch.setattr(corpus_pipeline, "COVERED", covered)
+        monkeypatch.setattr(corpus_pipeline, "BITMAPS", bitmaps)
+        got = stage(spark, docs, small)
+        assert got.columns == docs.columns
+        assert collections.Counter(r["doc_id"] for r in got.collect()) == collections.Counter([*range(60), 3, 3])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
