@@ -19,11 +19,29 @@ from tableprep.llm.text import arrow_map, kept
 SLICE = 1 << 18
 # Characters of a text that are split into words at a time.
 CHUNK = 1 << 16
+# Words of more bytes keep only their last state and contract all places of their pair; see MERGE_LONG.
+LONG = 64
 
-# ``parts`` holds a row for each byte of each word at first. A round joins the neighbours of the words that changed in
-# the last round to the merge table, takes each word's least rank, and contracts its first place (``{taken}``): the left
-# row gets the merged id, the right one -1. Rows of words that stay as they are leave the working table.
+# A round joins neighbouring tokens of the words that still change to the merge table and contracts each word's first
+# pair of least rank. It gives all rows of these words; those of a word without a pair are done.
 MERGE = """
+WITH RECURSIVE parts(word, pos, id, done) AS (
+  SELECT word, pos, id, false FROM fresh
+  UNION ALL
+  (WITH live AS MATERIALIZED (
+     SELECT word, pos, id, lead(id) OVER w AS next_id, row_number() OVER w AS n
+     FROM parts WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)),
+   pairs AS (SELECT l.word, l.n, m.merged FROM live l JOIN merges m ON m.a = l.id AND m.b = l.next_id),
+   least AS MATERIALIZED (SELECT word, min(merged) AS merged, min_by(n, (merged, n)) AS n FROM pairs GROUP BY word)
+   SELECT l.word, l.pos, CASE WHEN l.n = least.n THEN least.merged ELSE l.id END, least.word IS NULL
+   FROM live l LEFT JOIN least ON least.word = l.word
+   WHERE l.n - 1 IS DISTINCT FROM least.n)
+)
+SELECT word, pos, id FROM parts WHERE done ORDER BY word, pos"""
+
+# One row for each byte throughout: of a contracted pair the left row gets the merged id, the right one -1. A round takes
+# up the words that changed in the last one.
+MERGE_LONG = """
 WITH RECURSIVE parts(word, pos, id) USING KEY (word, pos) AS (
   SELECT word, pos, id FROM fresh
   UNION
@@ -90,114 +108,126 @@ def splitters(pattern: str) -> tuple[re.Pattern, object]:
     return re.compile(ascii_form, re.ASCII), regex.compile(pattern)
 
 
+class Words(dict):
+    """Place of every word in the order of first sight; ``fresh`` lists those whose ids are not known yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.fresh.append(word)
+        return place
+
+
 class Merger:
     """The merge table and vocabulary of one rank file in a task's own DuckDB, and the ids of words seen.
 
-    The dictionary ``places`` maps a word to its place in the arrays; at ``most`` words it is emptied and begins anew.
+    ``words`` maps a word to its place in the arrays; once it holds more than ``most`` words it is emptied and begins
+    anew with the next slice of texts.
     """
 
     def __init__(self, path: str, pattern: str, together: bool, most: int = 400_000):
         self.ranks, self.most = read_ranks(path), most
         self.ascii, self.any = splitters(pattern)
         self.gap = regex.compile(r"(?<=\S)\s")
-        self.merge = MERGE.format(taken=ALL_PLACES if together else FIRST_PLACE)
+        self.merge_long = MERGE_LONG.format(taken=ALL_PLACES if together else FIRST_PLACE)
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self._table("merges", np.array(rows, np.int32).reshape(-1, 3).T, ("a", "b", "merged"))
-        vocabulary = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "shown": [t.decode("latin-1") for t in self.ranks]})
-        self.db.register("loaded", vocabulary)
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM loaded")
-        self.db.unregister("loaded")
+        shown = [t.decode("latin-1") for t in self.ranks]
+        self._table("vocabulary", [pa.array(list(self.ranks.values()), pa.int32()), shown], ("id", "shown"))
         self.of_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.of_byte < 0).any():
             raise ValueError(f"{path} lacks tokens of single bytes")
         self.clear()
 
-    def _table(self, name: str, columns: np.ndarray, names: tuple[str, ...]) -> None:
+    def _table(self, name: str, columns, names: tuple[str, ...]) -> None:
         self.db.register("loaded", pa.table(dict(zip(names, columns))))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM loaded")
         self.db.unregister("loaded")
 
     def clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int64)
+        self.words = Words()
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
-    def words(self, text: str) -> Iterator[list[str]]:
+    def split(self, text: str) -> Iterator[list[str]]:
         """The pattern's matches, some ten thousand at a time: a text is cut where white space follows another character."""
-        split = (self.ascii if text.isascii() else self.any).findall
+        found = (self.ascii if text.isascii() else self.any).findall
         at = 0
         while at < len(text):
             gap = self.gap.search(text, at + CHUNK)
             end = gap.start() if gap else len(text)
-            yield split(text[at:end])
+            yield found(text[at:end])
             at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
         done: list[list[np.ndarray]] = [[] for _ in texts]
-        waiting: list[tuple[int, list[str]]] = []
+        waiting: list[tuple[int, np.ndarray]] = []
         held = 0
         for row, text in enumerate(texts):
-            for words in self.words(text):
-                waiting.append((row, words))
-                held += len(words)
+            for found in self.split(text):
+                waiting.append((row, np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))))
+                held += len(found)
                 if held >= SLICE:
                     self._settle(waiting, done)
                     waiting, held = [], 0
         self._settle(waiting, done)
         return [parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32) for parts in done]
 
-    def _settle(self, waiting: list[tuple[int, list[str]]], done: list[list[np.ndarray]]) -> None:
-        fresh = {w for _, words in waiting for w in words if w not in self.places}
-        if len(self.places) + len(fresh) > self.most:
-            self.clear()
-            fresh = {w for _, words in waiting for w in words}
-        self._learn(list(fresh))
-        for row, words in waiting:
-            places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+    def _settle(self, waiting: list[tuple[int, np.ndarray]], done: list[list[np.ndarray]]) -> None:
+        self._learn()
+        for row, places in waiting:
             sizes = self.sizes[places]
             before = np.cumsum(sizes) - sizes
             done[row].append(self.flat[np.repeat(self.starts[places] - before, sizes) + np.arange(sizes.sum())])
+        if len(self.words) > self.most:
+            self.clear()
 
-    def _learn(self, words: list[str]) -> None:
-        """Stores the ids of words: the id itself where the word is a token, else by the recursive query."""
-        slice_, held = [], 0
-        for word in words:
-            raw = word.encode()
-            if raw in self.ranks:
-                self._keep(word, np.array([self.ranks[raw]], np.int32))
-                continue
-            if slice_ and held + len(raw) > SLICE:
-                self._contract(slice_)
-                slice_, held = [], 0
-            slice_.append((word, raw))
-            held += len(raw)
-        if slice_:
-            self._contract(slice_)
-
-    def _contract(self, words: list[tuple[str, bytes]]) -> None:
-        raw = b"".join(r for _, r in words)
-        sizes = np.array([len(r) for _, r in words])
+    def _learn(self) -> None:
+        """Stores the ids of fresh words: the id itself where the word is a token, else by a recursive query."""
+        fresh, self.words.fresh = [w.encode() for w in self.words.fresh], []
+        place = len(self.words) - len(fresh)
+        whole = [(place + i, self.ranks[w]) for i, w in enumerate(fresh) if w in self.ranks]
+        if whole:
+            places, ids = (np.array(c) for c in zip(*whole))
+            self._keep(places, ids, np.ones(len(ids), np.int64))
+        for long in (False, True):
+            slice_, held = [], 0
+            for i, w in enumerate(fresh):
+                if w in self.ranks or (len(w) > LONG) != long:
+                    continue
+                if slice_ and held + len(w) > SLICE:
+                    self._contract(slice_, long)
+                    slice_, held = [], 0
+                slice_.append((place + i, w))
+                held += len(w)
+            if slice_:
+                self._contract(slice_, long)
+
+    def _contract(self, words: list[tuple[int, bytes]], long: bool) -> None:
+        raw = b"".join(w for _, w in words)
+        sizes = np.array([len(w) for _, w in words])
         row = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         pos = (np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         self._table("fresh", [row, pos, self.of_byte[np.frombuffer(raw, np.uint8)]], ("word", "pos", "id"))
-        out = self.db.execute(self.merge).fetchnumpy()
-        ends = np.searchsorted(out["word"], np.arange(len(words) + 1))
-        ids = np.asarray(out["id"], np.int32)
-        for i, (word, _) in enumerate(words):
-            self._keep(word, ids[ends[i] : ends[i + 1]])
-
-    def _keep(self, word: str, ids: np.ndarray) -> None:
-        place, end = len(self.places), self.used + len(ids)
+        out = self.db.execute(self.merge_long if long else MERGE).fetchnumpy()
+        tokens = np.bincount(out["word"], minlength=len(words))
+        self._keep(np.array([p for p, _ in words]), np.asarray(out["id"], np.int32), tokens)
+
+    def _keep(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the words at ``places``, one word after another, ``sizes`` of each."""
+        end = self.used + len(ids)
         while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if place >= len(self.starts):  # one slice alone holds more distinct words than the memory
+        while len(self.words) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
         self.flat[self.used : end] = ids
-        self.starts[place], self.sizes[place] = self.used, len(ids)
+        self.starts[places], self.sizes[places] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used = end
-        self.places[word] = place
 
     def decode(self, lists: pa.ListArray) -> list[bytes | None]:
         """Bytes of every list; None for a list with a null or an id that the file lacks."""

@@ -64,6 +64,7 @@ def test_code_points_white_space_and_long_words(merger, library):
 def test_texts_cut_at_every_place(merger, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "CHUNK", 7)
     monkeypatch.setattr(byte_bpe, "SLICE", 50)
+    monkeypatch.setattr(byte_bpe, "LONG", 9)
     rng = random.Random(6)
     texts = ["".join(rng.choice(["a", "be", " ", "  ", "\n", "é", "9", "'s", "…", " "]) for _ in range(300)) for _ in range(60)]
     assert [i.tolist() for i in merger.encode(texts)] == [library.encode_ordinary(t) for t in texts]
@@ -80,7 +81,7 @@ def test_memory_of_words_is_bounded(library):
     texts = [" ".join("".join(rng.choice("qzxv") for _ in range(6)) for _ in range(n)) for n in (10, 45, 30, 200, 20)]
     for t in texts:
         assert few.encode([t])[0].tolist() == library.encode_ordinary(t)
-    assert len(few.places) <= 50
+    assert len(few.words) <= 50
 
 
 def by_definition(word, ranks):
@@ -93,7 +94,7 @@ def by_definition(word, ranks):
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
 
-def test_ranks_that_are_out_of_order_contract_one_place_a_round(tmp_path):
+def test_ranks_that_are_out_of_order_contract_one_place_a_round(tmp_path, monkeypatch):
     import base64
 
     tokens = [bytes([b]) for b in range(256)] + [b"abc", b"bc", b"ab", b"cab", b"aa", b"aaa", b"abab"]
@@ -102,6 +103,7 @@ def test_ranks_that_are_out_of_order_contract_one_place_a_round(tmp_path):
     assert not byte_bpe.merges_in_order(str(path)) and byte_bpe.merges_in_order(RANKS)
     odd, ranks = byte_bpe.Merger(str(path), PATTERN, False), byte_bpe.read_ranks(str(path))
     rng = random.Random(8)
+    monkeypatch.setattr(byte_bpe, "LONG", 12)
     words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(300)]
     for word, ids in zip(words, odd.encode(words)):
         assert ids.tolist() == ([ranks[word.encode()]] if word.encode() in ranks else by_definition(word.encode(), ranks))
