@@ -84,28 +84,27 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["id"], b["host"], digest, *values, lines], ["id", "host", "digest", *MEASURES, "lines"])
 
 
-def frequent_lines(measured: DataFrame, least_texts: int, share: float) -> DataFrame:
-    """(host, line) of the lines in at least ``least_texts`` distinct texts and a ``share`` of all distinct texts of the host."""
-    texts = measured.select("host", "digest", "lines").groupBy("host", "digest").agg(F.first("lines").alias("lines"))
-    hosts = measured.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
-    counts = (
-        texts.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count("*").alias("texts"))
-        .filter(F.col("texts") >= least_texts)
-    )
-    return counts.join(hosts, "host").filter(F.col("texts") >= share * F.col("host_texts")).select("host", "line", "texts")
+def frequent_lines(measured: DataFrame, least_docs: int) -> DataFrame:
+    """(host, line, docs) of the lines in at least ``least_docs`` documents of the host.
+
+    Copies of a text are counted before its lines are unfolded, so a large group of copies costs one text.
+    """
+    texts = measured.groupBy("host", "digest").agg(F.first("lines").alias("lines"), F.count("*").alias("copies"))
+    lines = texts.select("host", F.explode("lines.line").alias("line"), "copies")
+    return lines.groupBy("host", "line").agg(F.sum("copies").alias("docs")).filter(F.col("docs") >= least_docs)
 
 
 def line_frequency_filter(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least_texts: int = 10, share: float = 0.002,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least_docs: int = 10,
     least_words: int = 50, most_removed: float = 0.5, least_left: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
     """The verdict of each document and the frequent lines of each host.
 
-    A line's key is the hash of its normalised words. A line is above the limits when it stands in at least
-    ``least_texts`` distinct texts of its host and in a ``share`` of them, which asks for more texts from
-    ``least_texts / share`` texts of a host on; exact copies of a text count once. The query's SQL states this rule. A document is depleted when the words outside such lines are fewer than
-    ``least_left``, or more than ``most_removed`` of its words stand on them. First table: ``key``, the text measures,
-    ``removed_words``, ``base_failed`` (fewer than ``least_words``, or more than half repeated words), ``kept``.
+    A line's key is the hash of its normalised words. A line is above the limit when it stands in at least
+    ``least_docs`` documents of its host, copies included; how many other documents the host has does not matter, so a
+    line's verdict never weakens as its host grows. A document is depleted when the words outside such lines are fewer
+    than ``least_left``, or more than ``most_removed`` of its words stand on them. First table: ``key``, the text
+    measures, ``removed_words``, ``base_failed`` (fewer than ``least_words``, or more than half repeated words), ``kept``.
 
     Null and empty texts have no words and fail; a null host is a host of its own; a null key is a key; repeated rows
     each give a row; empty tables give no rows; further columns are not read. Counting groups pre-aggregate, and the
@@ -115,7 +114,7 @@ def line_frequency_filter(
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, host string, digest binary, " + ", ".join(f"{m} bigint" for m in MEASURES) + f", lines array<{LINE}>"
     measured = materialize(arrow_map(docs, picked, _measured, schema), "lines")
-    frequent = materialize(frequent_lines(measured, least_texts, share), "frequent")
+    frequent = materialize(frequent_lines(measured, least_docs), "frequent")
     # The removed words of a text of a host are the same in all its copies.
     removed = (
         measured.groupBy("host", "digest").agg(F.first("lines").alias("lines"))

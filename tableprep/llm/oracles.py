@@ -30,9 +30,9 @@ WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
-raw_lines AS (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM docs),
+raw_lines AS (SELECT r, host, unnest(string_split(t, chr(10))) AS line FROM docs),
 lines AS (
-  SELECT r, host, t, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw,
+  SELECT r, host, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw,
     array_to_string(regexp_extract_all(regexp_replace(
       translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^\x20\x09-\x0D]+'), ' ') AS norm
   FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
@@ -41,10 +41,7 @@ windows AS (
   SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM docs, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
 again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
-hosts AS (SELECT host, count(DISTINCT t) AS texts FROM docs GROUP BY host),
-frequent AS (
-  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT t) AS n FROM lines GROUP BY host, norm) JOIN hosts USING (host)
-  WHERE n >= 10 AND n >= 0.002 * texts),
+frequent AS (SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT r) >= 10),
 removed AS (SELECT r, sum(len(lw)) AS n FROM lines JOIN frequent USING (host, norm) GROUP BY r),
 base AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,

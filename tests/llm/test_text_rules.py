@@ -108,16 +108,26 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     own = lambda i: " ".join(letters(i) + letters(j) for j in range(60))
     rows = [(i, f"{own(i)}\nAll rights  reserved {10 + i}", "a") for i in range(30)]
     rows += [(100 + i, "All RIGHTS reserved 99\n" * 30 + f"short {letters(i)}", "a") for i in range(3)]
-    rows += [(200 + i, own(0) + "\nonly here", "b") for i in range(40)]  # copies of one text count once
+    rows += [(200 + i, own(0) + "\nonly here", "b") for i in range(9)]
+    rows += [(300 + i, own(1), "c") for i in range(10)]  # documents are counted, copies too
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
-    verdicts, frequent = line_frequency.line_frequency_filter(docs, least_texts=10, share=0.002)
+    verdicts, frequent = line_frequency.line_frequency_filter(docs, least_docs=10)
     got = {r["doc_id"]: r for r in verdicts.collect()}
-    assert [r["host"] for r in frequent.collect()] == ["a"]  # numbers are alike, and so are spaces
+    assert sorted(r["host"] for r in frequent.collect()) == ["a", "c"]  # numbers are alike, and so are spaces
     assert all(got[i]["kept"] and got[i]["removed_words"] == 4 for i in range(30))
     assert all(not got[100 + i]["kept"] and got[100 + i]["removed_words"] == 120 for i in range(3))
-    assert all(got[200 + i]["kept"] for i in range(40))
+    assert all(got[200 + i]["kept"] for i in range(9)) and not any(got[300 + i]["kept"] for i in range(10))
     texts = {r["doc_id"]: r["text"] for r in line_frequency.strip_lines(docs, frequent).collect()}
-    assert texts[3] == own(3) and texts[101] == "short ab" and texts[200] == rows[-1][1]
+    assert texts[3] == own(3) and texts[101] == "short ab" and texts[200] == rows[33][1]
+
+
+def test_a_lines_verdict_does_not_weaken_as_its_host_grows(spark):
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    for others in (0, 20_000):
+        rows = [(i, f"shared line of words\nown {letters(i)}", "a") for i in range(12)]
+        rows += [(100 + i, f"other {letters(i)}", "a") for i in range(others)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+        assert [r["docs"] for r in line_frequency.line_frequency_filter(docs)[1].collect()] == [12]
 
 
 def test_line_frequency_odd_rows(odd, nothing):
