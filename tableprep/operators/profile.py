@@ -461,8 +461,17 @@ def profile_table(
     target: str | None = None,
     problem_type: str = "unknown",
     overrides: dict[str, str] | None = None,
+    exact: bool = True,
 ) -> DataFrame:
-    """One row per column: type, missing and distinct counts, warnings and a summary by type."""
+    """One row per column: type, missing and distinct counts, warnings and a summary by type.
+
+    Without ``exact`` all columns come from one pass; distinct counts, quantiles and top values are then estimates within
+    the bounds that ``sketches.profile_of_states`` states.
+    """
+    if not exact:
+        from tableprep.operators.sketches import column_states, merge_states, profile_of_states
+
+        return profile_of_states(merge_states(column_states(df)), role, target, problem_type, overrides)
     return profiles_frame(df.sparkSession, profile_records(df, role, target, problem_type, overrides))
 
 
