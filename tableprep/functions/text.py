@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableprep.functions.columns import PrepError, col, family_of
+from tableprep.functions.dates import infer_date_formats, likely, parsed
 
 # Unicode white space, as characters for trimming and as a pattern for splitting.
 WHITESPACE = (
@@ -194,8 +195,14 @@ def guess_date_shapes(spark, samples: dict[str, str | None]) -> dict[str, int |
     return out
 
 
-def to_time(c: Column, dtype: T.DataType, shape: int | None = None, fmt: str | None = None) -> Column:
-    """Timestamp of a cell. Text uses the given format, else the guessed shape, else any known shape."""
+def date_forms(df: DataFrame, samples: dict[str, list[str]]) -> dict[str, int | str | None]:
+    """Per text column the shape that reads its first value, else the format derived from all its values, else None."""
+    shapes: dict[str, int | str | None] = guess_date_shapes(df.sparkSession, {n: values[0] if values else None for n, values in samples.items()})
+    return shapes | infer_date_formats(df, [n for n, shape in shapes.items() if shape is None and likely(samples[n])])
+
+
+def to_time(c: Column, dtype: T.DataType, shape: int | str | None = None, fmt: str | None = None) -> Column:
+    """Timestamp of a cell. Text uses the given format, else the guessed shape or derived format, else any known shape."""
     family = family_of(dtype)
     if family == "time":
         return c.cast("timestamp_ntz")
@@ -203,6 +210,8 @@ def to_time(c: Column, dtype: T.DataType, shape: int | None = None, fmt: str | N
         return F.lit(None).cast("timestamp_ntz")
     if fmt is not None:
         return F.try_to_timestamp(c, F.lit(spark_date_format(fmt))).cast("timestamp_ntz")
+    if isinstance(shape, str):
+        return parsed(c, shape)
     return _parse(c, ANY_DATE_SHAPES if shape is None else [DATE_SHAPES[shape]])
 
 

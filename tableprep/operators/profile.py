@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tableprep.functions.columns import col, count_if, families, head_in_order, nan_to_null, order_keys, visible
 from tableprep.functions.rules import BOOLEAN_TEXTS, MISSING_TOKENS
 from tableprep.functions.text import (
-    guess_date_shapes, is_one_of, iso_time, strip, text_of, to_number, to_time, word_count,
+    date_forms, is_one_of, iso_time, strip, text_of, to_number, to_time, word_count,
 )
 from tableprep.plans.freq import most_frequent, top_values, value_frequencies
 from tableprep.plans.jobs import side_by_side
@@ -118,16 +118,16 @@ def sample_values(df: DataFrame, columns: list[str] | None = None) -> dict[str,
     return out
 
 
-def date_shapes(df: DataFrame, samples: dict[str, list[str]]) -> dict[str, int | None]:
-    """Date shape of each text column, fixed by its first non-missing value."""
+def date_shapes(df: DataFrame, samples: dict[str, list[str]]) -> dict[str, int | str | None]:
+    """Date shape of each text column, fixed by its first non-missing value, else by the pattern of its values."""
     kinds = families(df)
-    return guess_date_shapes(df.sparkSession, {n: values[0] if values else None for n, values in samples.items() if kinds[n] == "text"})
+    return date_forms(df, {n: values for n, values in samples.items() if kinds[n] == "text"})
 
 
 # --- pass 1: everything that needs no shuffle ---------------------------------------------------
 
 
-def _first_pass(df: DataFrame, columns: list[str], shapes: dict[str, int | None]) -> dict[str, dict[str, Any]]:
+def _first_pass(df: DataFrame, columns: list[str], shapes: dict[str, int | str | None]) -> dict[str, dict[str, Any]]:
     kinds = families(df)
     specs: dict[str, dict[str, Column]] = {}
     for name in columns:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tableprep.functions.columns import PrepError, families, order_keys
-from tableprep.functions.text import DATE_SHAPES, guess_date_shapes, spark_date_format, strip, text_of, to_time, word_count
+from tableprep.functions.text import DATE_SHAPES, date_forms, spark_date_format, strip, text_of, to_time, word_count
 from tableprep.operators.steps.base import Operation, col, must_be, new_names, present
 
 DATE_FEATURES = ["year", "month", "day", "day_of_week", "is_weekend"]
 
 
 class DatetimeExtract(Operation):
-    """Calendar parts of a date; text is parsed by a given format or by the one of the first train value."""
+    """Calendar parts of a date; text is parsed by a given format, the one of the first train value or the one of its values' pattern."""
 
     name = "datetime_extract"
     defaults = {"date_format": None, "features": DATE_FEATURES, "drop_original": True}
@@ -34,29 +34,29 @@ class DatetimeExtract(Operation):
     def fit(self, df, columns, params, learned):
         shapes = {}
         if not params["date_format"]:
-            kinds, firsts = families(df), {}
+            kinds = families(df)
             texts = [n for n in columns if kinds[n] == "text"]
             if texts:
                 place = F.struct(*order_keys(df))
                 row = df.agg(*[F.min_by(col(n), F.when(col(n).isNotNull(), place)).alias(f"f{i}") for i, n in enumerate(texts)]).first()
-                firsts = dict(zip(texts, row))
-            shapes = guess_date_shapes(df.sparkSession, firsts)
-        return {**params, "date_shapes": {n: DATE_SHAPES[i][1] for n, i in shapes.items() if i is not None}}
+                shapes = date_forms(df, {n: [v] if v is not None else [] for n, v in zip(texts, row)})
+        fixed = {n: DATE_SHAPES[i][1] for n, i in shapes.items() if isinstance(i, int)}
+        return {**params, "date_shapes": fixed, "date_formats": {n: f for n, f in shapes.items() if isinstance(f, str)}}
 
     def transform(self, df, columns, fitted):
-        formats, exprs, shown = [f for _, f in DATE_SHAPES], {}, present(df, columns)
-        for n in shown:
-            shape = fitted.get("date_shapes", {}).get(n)
-            time = to_time(
-                col(n), df.schema[n].dataType, formats.index(shape) if shape else None, fitted["date_format"] or None
-            )
+        formats, times, exprs, shown = [f for _, f in DATE_SHAPES], {}, {}, present(df, columns)
+        for k, n in enumerate(shown):
+            shape, derived = fitted.get("date_shapes", {}).get(n), fitted.get("date_formats", {}).get(n)
+            # A column of its own, so that a text is parsed once for all its parts.
+            times[f"__tp_time_{k}"] = to_time(col(n), df.schema[n].dataType, formats.index(shape) if shape else derived, fitted["date_format"] or None)
+            time = F.col(f"__tp_time_{k}")
             day = F.weekday(time)
             parts = {
                 "year": F.year(time), "month": F.month(time), "day": F.day(time), "day_of_week": day,
                 "is_weekend": F.coalesce((day >= 5).cast("int"), F.lit(0)),
             }
             exprs |= {f"{n}_{f}": parts[f] for f in DATE_FEATURES if f in fitted["features"]}
-        out = df.withColumns(exprs)
+        out = df.withColumns(times).withColumns(exprs).drop(*times) if shown else df
         return out.drop(*shown) if fitted["drop_original"] else out
 
     def summary(self, columns, params, counts):

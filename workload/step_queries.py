@@ -404,6 +404,41 @@ register(
 )
 
 
+# Renderings that no fixed shape reads: (format, whether it has a day of its own).
+RENDERINGS = {
+    "week_day": ("EEEE, MMMM d, yyyy", True), "mail": ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", True), "dotted_year": ("yyyy.MM.dd", True),
+    "dotted_time": ("dd.MM.yyyy HH:mm:ss", True), "compact": ("yyyyMMdd'T'HHmmss", True), "year_day": ("yyyy-DDD", True), "short_month": ("MMM-yyyy", False),
+    "long_month": ("MMMM yyyy", False), "day_short_year": ("d MMM yy", True), "year_name": ("yyyy MMM dd", True), "dashed": ("dd-MM-yy", True),
+    "ordinal_dot": ("d. MMMM yyyy", True), "month_year": ("MM/yyyy", False), "slashed_time": ("yyyy/MM/dd HH:mm", True), "named_half": ("MMM d, yyyy h:mm a", True),
+    "fraction": ("dd MMM yyyy HH:mm:ss.SSS", True), "ordinal_end": ("MMMM d'th', yyyy", True), "iso_half": ("yyyy-MM-dd h:mm a", True), "day_first": ("d-M-yyyy H:mm:ss", True),
+    "two_digit_first": ("yy/MM/dd", True),
+}
+
+
+def _rendered(spark, folder):
+    orders = read(spark, folder, "orders")
+    return with_row_order(orders.select("o_orderkey", *[F.date_format("o_orderdate", f).alias(n) for n, (f, _) in RENDERINGS.items()]), "o_orderkey")
+
+
+register(
+    "datetime_inferred",
+    lambda s, d: flat(Pipeline([Step("datetime_extract", list(RENDERINGS), {"features": ["year", "month", "day"]})]).fit_transform(_rendered(s, d))[1]),
+    "SELECT o_orderkey, " + ", ".join(
+        f"year(o_orderdate) AS {n}_year, month(o_orderdate) AS {n}_month, {'day(o_orderdate)' if day else '1::BIGINT'} AS {n}_day"
+        for n, (_, day) in RENDERINGS.items()
+    ) + " FROM orders",
+)
+register(
+    "datetime_inferred_profile",
+    lambda s, d: flat(profile.profile_table(_rendered(s, d).drop("o_orderkey")).select("column_name", "inferred_type", "parse_success_rate", "min_date", "invalid_date_count")),
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS column_name, 'datetime' AS inferred_type, 1.0::DOUBLE AS parse_success_rate, 0::BIGINT AS invalid_date_count, "
+        f"strftime({'min(o_orderdate)' if day else 'date_trunc($$month$$, min(o_orderdate))'}, '%Y-%m-%dT%H:%M:%S') AS min_date FROM orders"
+        for n, (_, day) in RENDERINGS.items()
+    ),
+)
+
+
 def _bracketed(spark, folder):
     """The path for tables of any size: sketch, proof of the rank, exact grouping of the bracket."""
     wanted = {"l_extendedprice": [0.01, 0.25, 0.5, 0.75, 0.99], "l_quantity": [0.1, 0.5, 0.9]}
