@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprep.plans.scratch import materialize
@@ -45,14 +47,20 @@ def host_links(pages: DataFrame, host: Column, html: str) -> DataFrame:
     )
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+def rounds_for(least: float, damping: float) -> int:
+    """Rounds after which no more than a thousandth of ``least`` of any score is still open."""
+    return max(1, math.ceil(math.log(least / 1000) / math.log(damping)))
+
+
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
     """(kind, host, score, part): ``trust`` flows along the links, ``distrust`` against them, both in the same jobs.
 
     ``seeds``: (kind, host). ``score`` is personalised PageRank: restarts go to the seeds evenly; so does the rank of
     hosts without links onward. Scores are shares of one seed's restart, so they do not depend on the number of seeds,
-    but a seed's score is divided among its neighbours. ``part`` is not: a seed has 1, another host ``damping`` times
-    the mean over its own links, by weight, of what they lead to (distrust) or come from (trust). Stops when no rank
-    moves, else after ``rounds`` rounds, when at most ``damping ** rounds`` of either is still open.
+    but a seed's score is divided among its neighbours. ``part`` is the same rank normalised by the degree of the host
+    that receives it: a seed has 1, another host ``damping`` times the mean over its own links, by weight, of what they
+    lead to (distrust) or come from (trust), so in-degree does not dilute it. Stops when no rank moves, else after
+    ``rounds`` rounds, when at most ``damping ** rounds`` of either is still open.
     """
     onward = links.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "weight").unionAll(
         links.select(F.lit("distrust"), F.col("target"), F.col("source"), "weight")
@@ -83,16 +91,17 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 20, damping: flo
 
 
 def judge_urls(
-    pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", html: str = "html", rounds: int = 20,
+    pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", html: str = "html",
     damping: float = 0.85, least: float = 0.01,
 ) -> DataFrame:
     """Per page: ``key``, ``host``, ``path``, ``rule``, ``verdict``, and its host's ``trust``, ``distrust`` and parts of both.
 
     The longest fitting rule decides. For the rest: a host is a trusted (blocked) seed if rules allow (block) more than
     half of its pages. Trust flows from trusted seeds to the hosts that they link; distrust from blocked seeds to the
-    hosts that link to them. A host is blocked if its ``distrust_part`` is at least ``least`` and more than its
-    ``trust_part``. Both are means over the host's own links (see :func:`propagate`), so it does not matter how many
-    others link a blocked host or how large they are; ``trust`` and ``distrust`` are the ranks, for information.
+    hosts that link to them. A host is blocked if its degree-normalised distrust rank ``distrust_part`` is at least
+    ``least`` and more than its ``trust_part`` (see :func:`propagate`), so it does not matter how many others link a
+    blocked host or how large they are. Rounds go on until no open amount matters for ``least``: a chain of links is
+    followed as far as its rank can reach the limit. ``trust`` and ``distrust`` are the ranks without that normalisation.
 
     A null or malformed url has an empty host and path, fits no rule, and is allowed; such pages give no links. A null
     html has no links; repeated rows each count and give a row; no pages give no rows; further columns are not read.
@@ -105,7 +114,7 @@ def judge_urls(
     hosts = judged.filter("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
     kind = F.when(F.col("allowed") > 0.5, "trust").when(F.col("blocked") > 0.5, "distrust")
     seeds = materialize(hosts.select(kind.alias("kind"), "host").filter("kind is not null"), "seeds")
-    rank = propagate(host_links(pages, host_of(address), html), seeds, rounds, damping)
+    rank = propagate(host_links(pages, host_of(address), html), seeds, rounds_for(least, damping), damping)
     columns = {"trust": ("trust", "score"), "distrust": ("distrust", "score"), "trust_part": ("trust", "part"), "distrust_part": ("distrust", "part")}
     scores = rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0.0)).alias(name) for name, (k, c) in columns.items()])
     held = {name: F.coalesce(name, F.lit(0.0)) for name in columns}

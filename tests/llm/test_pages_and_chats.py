@@ -23,7 +23,7 @@ def fitting(host, path):
 
 
 def brute_ranks(pages, rounds, damping):
-    """Power iteration over a dictionary of links, both directions."""
+    """Power iteration over a dictionary of links, both directions: ranks shared by the giver's and by the taker's degree."""
     links, allowed, blocked, n = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
     for _, url, html in pages:
         host, path = host_and_path(url)
@@ -53,22 +53,32 @@ def brute_ranks(pages, rounds, damping):
                 new[s] += back
             rank = new
         out[kind] = rank
+        degree = collections.Counter()
+        for (_, b), w in edges.items():
+            degree[b] += w
+        part = dict.fromkeys(seeds, 1.0)
+        for _ in range(rounds):
+            new = collections.Counter()
+            for (a, b), w in edges.items():
+                new[b] += damping * part.get(a, 0.0) * w / degree[b]
+            part = {**new, **dict.fromkeys(seeds, 1.0)}
+        out[kind + "_part"] = part
     return out
 
 
-def brute_verdicts(pages, rounds=20, damping=0.85, least=0.01):
-    ranks = brute_ranks(pages, rounds, damping)
+def brute_verdicts(pages, damping=0.85, least=0.01):
+    ranks = brute_ranks(pages, url_filter.rounds_for(least, damping), damping)
     out = []
     for key, url, _ in pages:
         host, path = host_and_path(url)
         rule, verdict = fitting(host, path)
-        trust, distrust = (ranks[k].get(host, 0.0) if host else 0.0 for k in ("trust", "distrust"))
-        out.append((key, host, path, rule, verdict or ("block" if distrust >= least and distrust > trust else "allow"), round(trust, 9), round(distrust, 9)))
+        trust, distrust, good, bad = (ranks[k].get(host, 0.0) if host else 0.0 for k in ("trust", "distrust", "trust_part", "distrust_part"))
+        out.append((key, host, path, rule, verdict or ("block" if bad >= least and bad > good else "allow"), *(round(x, 9) for x in (trust, distrust, good, bad))))
     return sorted(out, key=str)
 
 
-def found_verdicts(df):
-    return sorted(((*r[:5], round(r[5], 9), round(r[6], 9)) for r in url_filter.judge_urls(df, RULES).collect()), key=str)
+def found_verdicts(df, **settings):
+    return sorted(((*r[:5], *(round(x, 9) for x in r[5:9])) for r in url_filter.judge_urls(df, RULES, **settings).collect()), key=str)
 
 
 LINK = '<a href="{}">x</a>'
@@ -92,6 +102,19 @@ def test_verdicts_equal_brute_force(spark):
     assert found_verdicts(df.limit(0)) == []
 
 
+def test_chains_are_followed_to_the_limit_and_cycles_end(spark):
+    pages = [(i, f"http://hop{i}.com/", LINK.format(f"http://hop{i - 1}.com/" if i else "http://bad.net/")) for i in range(30)] + [(100, "http://bad.net/", "")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)
+    got = found_verdicts(df, damping=0.6, least=1e-6)
+    assert got == brute_verdicts(pages, damping=0.6, least=1e-6)
+    # hop26 is 27 links away: 0.6 ** 27 > 1e-6.
+    assert {r[1] for r in got if r[4] == "allow"} == {"hop27.com", "hop28.com", "hop29.com"}
+    ring = [(i, f"http://ring{i}.com/", LINK.format(f"http://ring{(i + 1) % 5}.com/")) for i in range(5)]
+    ring += [(5, "http://ring2.com/b", LINK.format("http://bad.net/")), (6, "http://bad.net/", LINK.format("http://ring4.com/")), (7, "http://good.example.net/en/", LINK.format("http://ring0.com/"))]
+    df = spark.createDataFrame(ring, "page_id bigint, url string, html string").coalesce(1)
+    assert found_verdicts(df, damping=0.3) == brute_verdicts(ring, damping=0.3)
+
+
 @pytest.mark.parametrize("others", [0, 40, 1000])
 def test_linkers_of_a_blocked_host_are_blocked_however_many_there_are(spark, others):
     """Small linkers beside one of 5,000 pages; hosts that trust reaches, or with a small part of bad links, stay."""
