@@ -14,11 +14,14 @@ from workload.tables import PAIR, dirty_orders, flat, read, sql, text_orders, tr
 P = sql(*PAIR)
 
 
-def applied(steps: list[Step], *columns: str, replay: bool = False):
-    """Query: fit on train, apply to both sides."""
+def applied(steps: list[Step], *columns: str, replay: bool = False, refit: bool = False):
+    """Query: fit on train, apply to both sides. ``refit``: as a draft loaded from a config that was fitted on the test side."""
     def run(spark, folder):
         train, test = train_and_test(spark, folder)
-        fitted, done = Pipeline(steps, mode="train_test").fit_transform(train)
+        draft = Pipeline(steps, mode="train_test")
+        if refit:
+            draft = Pipeline.from_config(draft.fit(test).to_config())
+        fitted, done = draft.fit_transform(train)
         if replay:
             fitted = FittedPipeline.from_config(fitted.to_config(), spark)
             done = fitted.transform(train)
@@ -243,6 +246,7 @@ SINGLE = (ctes, tail)
 ctes, tail = steps_sql("train", "both_sides")
 register("apply_train_test", applied(STEPS), f"WITH {P},{ctes} {tail}")
 register("config_replay", applied(STEPS, replay=True), f"WITH {P},{ctes} {tail}")
+register("config_refit", applied(STEPS, refit=True), f"WITH {P},{ctes} {tail}")
 
 
 def _effects(spark, folder):
