@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 
 from tableprep.functions.columns import HIDDEN_PREFIX, PrepError, ROW_ORDER, col, count_if, head_in_order, visible
 from tableprep.functions.text import ASCII_SPACE, INTEGER, to_number
+from tableprep.sources.csv_records import csv_records
 
 # Cells a scan takes for missing.
 NA_TOKENS = [
@@ -17,7 +18,8 @@ NA_TOKENS = [
     "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 BOOLEAN_WORDS = ["True", "TRUE", "true", "False", "FALSE", "false"]
-_EXTRA, _FILE, _BLOCK = (HIDDEN_PREFIX + part for part in ("extra", "file", "block"))
+_EXTRA, _FILE, _BLOCK, _PLACE, _CELLS = (HIDDEN_PREFIX + part for part in ("extra", "file", "block", "place", "cells"))
+QUOTING = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 COLUMNS_PER_JOB = 20
 
 
@@ -34,11 +36,14 @@ def _has_multi_line_cells(spark: SparkSession, path: str) -> bool:
 def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Header line -> the files that begin with it."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    firsts = (
-        lines.filter("block = 0").withColumn("place", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "place").alias("line"))
-        .groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    )
-    return {r["line"]: r["files"] for r in firsts.collect()}  # one row for each different header, with file names
+    firsts = lines.filter("block = 0").withColumn("place", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    return _by_line(firsts)
+
+
+def _by_line(firsts: DataFrame) -> dict[str, list[str]]:
+    """From rows (file, line); what comes to the driver is each different header once, with file names."""
+    files = firsts.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return {r["line"]: r["files"] for r in files.collect()}
 
 
 def column_names(line: str) -> list[str]:
@@ -56,21 +61,24 @@ def column_names(line: str) -> list[str]:
 def read_csv(spark: SparkSession, path: str, *, multi_line: bool | None = None, row_order: bool = True) -> DataFrame:
     """Header row, missing tokens to null, then integer, double, boolean or text per column.
 
-    Files are split unless a cell spans lines (found out when ``multi_line`` is
-    None). Files of a folder are matched by column name: their headers may order
-    the same names differently, other names are an error. ``row_order`` attaches
-    the file position as the row-order key. A row with more cells than the
-    header is an error; missing trailing cells are null.
+    Files are split. Where a cell spans lines (found out when ``multi_line`` is None), the records of all splits are
+    formed and stored first (:mod:`tableprep.sources.csv_records`). Files of a folder are matched by column name: their
+    headers may order the same names differently, other names are an error. ``row_order`` attaches the file position as
+    the row-order key. A row with more cells than the header is an error; missing trailing cells are null.
     """
     try:
-        headers = _headers(spark, path)
-        if not headers:
-            raise CsvError("CSV is empty")
+        records = None
         if multi_line is None:
             multi_line = _has_multi_line_cells(spark, path)
+        if multi_line:
+            records = csv_records(spark, path)
+            headers = _by_line(records.filter("first").select("file", F.col("record").alias("line")))
+        else:
+            headers = _headers(spark, path)
     except AnalysisException as exc:
         raise CsvError(f"Could not read CSV: {exc.getCondition() or exc}") from exc
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE"}
+    if not headers:
+        raise CsvError("CSV is empty")
     first = min(headers.items(), key=lambda h: h[1][0])[0]
     header = column_names(first)
     if not header:
@@ -81,9 +89,9 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool | None = None,
         if set(names) != set(header):
             raise CsvError(f"Files of {path} have different columns: {', '.join(sorted(set(names) ^ set(header)))}")
         schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, _EXTRA])
-        files = path if len(headers) == 1 else headers[line]
-        part = spark.read.options(**options, enforceSchema=True).schema(schema).csv(files)
-        parts.append(part.select(*[col(n) for n in [*header, _EXTRA]], F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK)))
+        files = None if len(headers) == 1 else headers[line]
+        part = _cells_of_lines(spark, files or path, schema) if records is None else _cells_of_records(records, files, schema)
+        parts.append(part.select(*[col(n) for n in [*header, _EXTRA]], _FILE, _BLOCK, _PLACE))
     raw = reduce(DataFrame.unionByName, parts)
     cells = raw.withColumns({n: F.when(~col(n).isin(NA_TOKENS), col(n)) for n in header})
     types = _infer(cells, header)
@@ -100,13 +108,31 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool | None = None,
     if row_order:
         exprs.append(
             F.struct(
-                F.col(_FILE).alias("file_path"), F.col(_BLOCK).alias("file_block_start"),
-                F.monotonically_increasing_id().alias("place"),
+                F.col(_FILE).alias("file_path"), F.col(_BLOCK).alias("file_block_start"), F.col(_PLACE).alias("place"),
             ).alias(ROW_ORDER)
         )
     return cells.select(*exprs)
 
 
+def _cells_of_lines(spark: SparkSession, files: str | list[str], schema: str) -> DataFrame:
+    lines = spark.read.options(header=True, enforceSchema=True, **QUOTING).schema(schema).csv(files)
+    return lines.withColumns({
+        _FILE: F.col("_metadata.file_path"), _BLOCK: F.col("_metadata.file_block_start"), _PLACE: F.monotonically_increasing_id(),
+    })
+
+
+def _cells_of_records(records: DataFrame, files: list[str] | None, schema: str) -> DataFrame:
+    """Cells of the records of some files (None: of all)."""
+    rows = records.filter("NOT first")
+    if files is not None:
+        names = records.sparkSession.createDataFrame([(f,) for f in files], "file string")
+        rows = rows.join(F.broadcast(names), "file")  # one row for each file
+    parsed = F.from_csv("record", schema, {**QUOTING, "multiLine": "true"})
+    return rows.select(
+        parsed.alias(_CELLS), F.col("file").alias(_FILE), F.col("block").alias(_BLOCK), F.col("place").alias(_PLACE),
+    ).select(f"{_CELLS}.*", _FILE, _BLOCK, _PLACE)
+
+
 def _infer(cells: DataFrame, header: list[str]) -> dict[str, str]:
     """Narrowest type that holds every present cell of a column."""
     types: dict[str, str] = {}

@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 
 from tableprep import CsvError, PrepError, ingest_stats, latest_per_key, list_results, read_csv, store_results, table_preview
@@ -67,3 +70,57 @@ def test_csv_repeated_names_stay_apart(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,a,A,,b\n1,2,3,4,5\n")
     got = read_csv(spark, str(tmp_path / "t.csv"), row_order=False)
     assert got.columns == ["a", "a.1", "A.2", "Unnamed: 3", "b"] and tuple(got.first()) == (1, 2, 3, 4, 5)
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Splits of 200 bytes, so that cells and records cross many of them."""
+    small = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _cell(dice):
+    kind = dice.randrange(7)
+    words = ["".join(dice.choices("xyz ,\"\n", k=dice.randrange(1, 12))) for _ in range(dice.choice([1, 1, 1, 8]))]
+    if kind < 2:
+        return "".join(c for c in words[0] if c not in ',\n"') + "w"
+    if kind == 2:
+        return 'w"' + "".join(c for c in words[0] if c not in ",\n")  # a quote that opens nothing
+    return '"' + "q\n".join(words).replace('"', '""') + '"'
+
+
+@pytest.mark.parametrize("seed,end", [(1, "\n"), (3, "\r\n")])
+def test_records_of_many_splits(spark, tmp_path, tiny_splits, seed, end):
+    dice = random.Random(seed)
+    lines = ['id,"first\nname",c'] + [f"{i},{_cell(dice)},{_cell(dice)}" for i in range(60)]
+    lines.insert(40, "")
+    text = end.join(lines) + end
+    path = tmp_path / "t.csv"
+    path.write_bytes(text.encode())
+    names, *rows = [r for r in csv.reader(text.splitlines(keepends=True)) if r]
+    assert text.count("\n") > len(rows) + 10
+    got = read_csv(spark, str(path))
+    assert got.drop("__tp_row").columns == names
+    assert [[str(v) for v in r[:3]] for r in got.orderBy("__tp_row").collect()] == rows
+
+
+def test_records_of_a_folder_and_of_one_endless_cell(spark, tmp_path, tiny_splits):
+    long = "\n".join(f"line {i}" for i in range(120))
+    (tmp_path / "1.csv").write_text(f'a,b\n1,"{long}"\n2,y\n')
+    (tmp_path / "2.csv").write_text('b,a\n"z\n\nz",3\n')
+    (tmp_path / "3.csv").write_text('a,b\n4,"never closed\n5,x')
+    got = read_csv(spark, str(tmp_path)).orderBy("a").drop("__tp_row")
+    assert [tuple(r) for r in got.collect()] == [(1, long), (2, "y"), (3, "z\n\nz"), (4, "never closed\n5,x")]
+
+
+def test_one_file_with_line_breaks_is_read_by_several_tasks(spark, tmp_path, tiny_splits):
+    from tableprep.sources.csv_records import csv_records
+
+    path = write(tmp_path, "a,b\n" + "".join(f'{i},"x\ny"\n' for i in range(50)))
+    records = csv_records(spark, path)
+    assert records.count() == 51 and records.select("block").distinct().count() > 2

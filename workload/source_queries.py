@@ -39,6 +39,26 @@ register(
 )
 
 
+def _multi_line_splits(s, d):
+    """The same files, each read in splits of 64 KB whose records cross them."""
+    path, key = _written(s, d), "spark.sql.files.maxPartitionBytes"
+    before = s.conf.get(key)
+    s.conf.set(key, str(1 << 16))
+    try:
+        df = read_csv(s, path)
+    finally:
+        s.conf.set(key, before)
+    place = F.col("__tp_row")
+    several = df.agg(F.count_distinct(place["file_path"], place["file_block_start"]) > F.count_distinct(place["file_path"])).first()[0]
+    return flat(df.withColumn("several", F.lit(several)))
+
+
+register(
+    "csv_multi_line_splits", _multi_line_splits,
+    f"WITH {sql('dirty_orders')} SELECT {CSV_COLUMNS}, true AS several FROM dirty_orders",
+)
+
+
 def _csv_types(s, d):
     df = read_csv(s, _written(s, d), row_order=False)
     counted = profile_table(df).select("column_name", "missing_count")
