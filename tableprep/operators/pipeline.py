@@ -1,8 +1,9 @@
 """Ordered steps: fit on one table, apply to any, save, load and replay.
 
 Fitting is fused: consecutive steps that work on different columns learn from
-one set of jobs over the same input. Applying is lazy projection work (plus
-lookups for large category maps), so a fitted pipeline adds no job of its own.
+one set of jobs over the same input. Applying is lazy projection work; only
+maps of more than a thousand categories need one job, which finds the values
+that are frequent in the table they are applied to.
 """
 
 from __future__ import annotations
@@ -132,7 +133,7 @@ class Pipeline:
                 values = op.fit(df, p.columns, p.params, learned[i])
             except PrepError as exc:
                 raise StepError(f"Step {p.step_id} failed: {exc}") from exc
-            current = op.transform(current, p.columns, values)
+            current = op.transform(_stored_before(current, values, fitted), p.columns, values)
             fitted.append(FittedStep(p.step_id, p.step.operation_type, p.columns, dict(p.step.params), values))
         pending.clear()
         return current
@@ -186,6 +187,13 @@ def _learn_categories(df: DataFrame, categories: list[str], out: list[Learned])
         learned.modes = {r["column_name"]: r["first"]["value"] for r in rows}
 
 
+def _stored_before(df: DataFrame, values: dict[str, Any], earlier: list[FittedStep]) -> DataFrame:
+    """A step that looks up a stored map reads its input several times; after another such step it is stored once."""
+    maps = lambda fitted: [m for v in fitted.values() if isinstance(v, dict) for m in v.values() if isinstance(m, CategoryMap)]
+    stored = lambda fitted: any(m.table is not None for m in maps(fitted))
+    return materialize(df, "encoded") if stored(values) and any(stored(e.fitted) for e in earlier) else df
+
+
 class FittedPipeline:
     """Steps with learned values; the same values apply to every table."""
 
@@ -194,8 +202,8 @@ class FittedPipeline:
 
     def transform(self, df: DataFrame) -> DataFrame:
         current = nan_to_null(df)
-        for step in self.steps:
-            current = self._apply(current, step)
+        for i, step in enumerate(self.steps):
+            current = self._apply(_stored_before(current, step.fitted, self.steps[:i]), step)
         return current
 
     @staticmethod
@@ -241,7 +249,7 @@ class FittedPipeline:
                 if hidden:
                     current = current.withColumns({h: expr for h, (_, _, expr) in hidden.items()})
                 names.update({h: (j, key) for h, (j, key, _) in hidden.items()})
-                current = self._apply(current, step)
+                current = self._apply(_stored_before(current, step.fitted, self.steps[:i]), step)
             shapes.append((width, len(visible(current))))
         close(current, len(self.steps))
         rows = []

@@ -40,21 +40,15 @@ class RareCategoryGrouping(Operation):
         }
 
     def transform(self, df, columns, fitted):
-        out = df
-        for n, mapping in fitted["frequent_values"].items():
-            if n not in df.columns:
-                continue
-            text = text_of(out, n)
-            if mapping.inline is not None:
-                helped, known = out, text.isin(list(mapping.inline)) if mapping.inline else F.lit(False)
-            else:
-                helped, code = lookup(out, n, text, mapping, "boolean")
-                known = code.isNotNull()
-            label = F.lit(fitted["rare_label"])
-            missing = label if fitted["include_missing"] else F.lit(None).cast("string")
-            grouped = F.when(text.isNull(), missing).when(known, text).otherwise(label)
-            out = drop_helpers(helped.withColumn(n, grouped), out)
-        return out
+        maps = {n: m for n, m in fitted["frequent_values"].items() if n in df.columns}
+        text = {n: text_of(df, n) for n in maps}
+        helped, codes = lookup(df, {n: (text[n], m) for n, m in maps.items() if m.inline is None}, "boolean")
+        label, grouped = F.lit(fitted["rare_label"]), {}
+        missing = label if fitted["include_missing"] else F.lit(None).cast("string")
+        for n, mapping in maps.items():
+            known = codes[n].isNotNull() if n in codes else text[n].isin(list(mapping.inline)) if mapping.inline else F.lit(False)
+            grouped[n] = F.when(text[n].isNull(), missing).when(known, text[n]).otherwise(label)
+        return drop_helpers(helped.withColumns(grouped), df) if grouped else df
 
     def summary(self, columns, params, counts):
         return "Grouped rare categories using train frequencies."
@@ -110,11 +104,8 @@ class OneHotEncoding(Operation):
     def transform(self, df, columns, fitted):
         shown, encoded = present(df, columns), {}
         if "mappings" in fitted:
-            out = df
-            for n in shown:
-                helped, code = lookup(out, n, text_of(out, n), fitted["mappings"][n], "bigint")
-                out = drop_helpers(helped.withColumn(f"{n}_index", code), out)
-            return out.drop(*shown)
+            helped, codes = lookup(df, {n: (text_of(df, n), fitted["mappings"][n]) for n in shown}, "bigint")
+            return drop_helpers(helped.withColumns({f"{n}_index": code for n, code in codes.items()}), df).drop(*shown)
         for n in shown:
             text = text_of(df, n)
             for name, category in self._names(n, fitted["categories"].get(n, [])):
@@ -182,9 +173,6 @@ class FrequencyEncoding(Operation):
 
 
 def _encode(df, maps, code_type, unknown):
-    out = df
-    for n, mapping in maps.items():
-        if n in df.columns:
-            helped, code = lookup(out, n, text_of(out, n), mapping, code_type)
-            out = drop_helpers(helped.withColumn(n, F.coalesce(code, F.lit(unknown).cast(code_type))), out)
-    return out
+    helped, codes = lookup(df, {n: (text_of(df, n), m) for n, m in maps.items() if n in df.columns}, code_type)
+    encoded = {n: F.coalesce(code, F.lit(unknown).cast(code_type)) for n, code in codes.items()}
+    return drop_helpers(helped.withColumns(encoded), df) if encoded else df

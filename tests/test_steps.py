@@ -271,6 +271,28 @@ def test_cold_keys_are_spread_although_rows_are_equal(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_frequent_values_known_or_unseen_cross_no_network(spark, monkeypatch, tmp_path):
+    """90 % of the rows hold one known value, 9 % one unseen value: only the others reach the join, also after a replay."""
+    monkeypatch.setattr(maps, "INLINE_VALUES", 2)
+    monkeypatch.setattr(maps, "LITERAL_VALUES", 0)
+    train = spark.range(500).select(F.concat(F.lit("v"), F.col("id") % 50).alias("c"), F.concat(F.lit("w"), F.col("id") % 25).alias("d"))
+    fitted = Pipeline([Step("frequency_encoding", ["c", "d"], {"normalize": False}), Step("rare_category_grouping", ["e"], {"min_count": 1})]).fit(
+        train.withColumn("e", F.col("c")))
+    fitted.save(spark, str(tmp_path / "cfg"))
+    c = F.when(F.col("id") % 100 < 90, "v7").when(F.col("id") % 100 < 99, "unseen").otherwise(F.concat(F.lit("v"), F.col("id") % 37))
+    test = spark.range(4000).select("id", c.alias("c"), F.when(F.col("id") % 2 == 0, "w3").alias("d"), c.alias("e"))
+    for pipeline in (fitted, FittedPipeline.load(spark, str(tmp_path / "cfg"))):
+        found = {n: (F.col(n), pipeline.steps[0].fitted["frequency_maps"][n]) for n in ("c", "d")}
+        done, rest = maps.settle(test, found, "double")
+        # The sketch may list one of the rare values, too.
+        assert done.count() + rest.count() == 4000 and 20 < rest.count() <= 40
+        assert "hashpartitioning" not in done._jdf.queryExecution().executedPlan().toString()
+        for r in pipeline.transform(test).collect():
+            value = "v7" if r["id"] % 100 < 90 else "unseen" if r["id"] % 100 < 99 else f"v{r['id'] % 37}"
+            assert (r["c"], r["d"]) == (0.0 if value == "unseen" else 10.0, 0.0 if r["id"] % 2 else 20.0)
+            assert r["e"] == ("__RARE__" if value == "unseen" else value)
+
+
 def test_replacement_that_does_not_fit_the_type_becomes_missing(spark):
     df = spark.createDataFrame([(1.0,), (-9.0,)], "v double")
     done = run(df, "replace_placeholder_values", ["v"], placeholders=[-9.0], replacement="none")[1]

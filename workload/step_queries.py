@@ -379,6 +379,25 @@ register(
     SELECT side, o_orderkey, coalesce(r, 0)::DOUBLE AS o_custkey FROM both_sides LEFT JOIN fr ON v = o_custkey""",
 )
 
+# 90 % of the rows hold one value of the train table, 9 % one that it lacks.
+SKEWED = """CASE WHEN (7 * l_orderkey + l_linenumber) % 100 < 90 THEN (SELECT min(l_partkey) FROM lineitem)
+    WHEN (7 * l_orderkey + l_linenumber) % 100 < 99 THEN -5 ELSE l_partkey END"""
+
+
+def _skewed(spark, folder):
+    lines = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    least, place = lines.agg(F.min("l_partkey")).first()[0], (7 * F.col("l_orderkey") + F.col("l_linenumber")) % 100
+    part = F.when(place < 90, F.lit(least)).when(place < 99, F.lit(-5)).otherwise(F.col("l_partkey"))
+    fitted = Pipeline([Step("frequency_encoding", ["l_partkey"], {"normalize": False})]).fit(lines)
+    return flat(fitted.transform(lines.withColumn("l_partkey", part)))
+
+
+register(
+    "frequency_skewed_rows", _skewed,
+    f"""WITH fr AS (SELECT l_partkey AS v, count(*) AS r FROM lineitem GROUP BY 1), skewed AS (SELECT l_orderkey, l_linenumber, {SKEWED} AS k FROM lineitem)
+    SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, coalesce(r, 0)::DOUBLE AS l_partkey FROM skewed LEFT JOIN fr ON v = k""",
+)
+
 SHAPES = {
     "zoned": ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", True), "half_day": ("MM/dd/yyyy hh:mm a", True), "named": ("MMM d yyyy", True),
     "month_only": ("yyyy-MM", False), "short_year": ("MM/dd/yy", True), "utc": ("yyyy-MM-dd HH:mm:ss'Z'", True),
