@@ -178,6 +178,31 @@ def pack_examples(df: DataFrame, key: str, ids: str, loss: str, limits: Limits =
     return arrow_map(df, {"key": key, "ids": ids, "loss": loss}, _packed(examples, limits, cut, with_ids), _schema(kind, with_ids)).withColumnRenamed("key", key)
 
 
+def conversation_examples(talks: DataFrame, tokenizer: str, key: str = "conv_id", turns: str = "turns", end_id: int = 2, answers: str = "assistant") -> DataFrame:
+    """(key, ids, loss) of conversations, as :func:`pack_examples` takes them.
+
+    ``turns`` are an array of (role, text). The ids of every turn, each turn encoded by itself, end with ``end_id``;
+    those of turns by ``answers``, their end included, bear loss. A null text is empty; a null turn and a null list have
+    no ids; a null role bears no loss; repeated rows and null keys are kept; further columns are not read.
+    """
+    kind = talks.schema[key].dataType
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end = _words(tokenizer), np.array([end_id], np.int32)
+        for b in batches:
+            ids, loss = [], []
+            for said in b["turns"].to_pylist():
+                coded = [(np.append(words.encode((t["text"] or "").encode()).astype(np.int32), end), t["role"] == answers) for t in said or [] if t]
+                ids.append(np.concatenate([c for c, _ in coded]) if coded else np.zeros(0, np.int32))
+                loss.append(np.repeat([answer for _, answer in coded], [len(c) for c, _ in coded]).astype(bool))
+            yield pa.RecordBatch.from_arrays(
+                [b["key"], pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.bool_()))], ["key", "ids", "loss"],
+            )
+
+    made = arrow_map(talks, {"key": key, "turns": turns}, work, f"key {kind.simpleString()}, ids array<int>, loss array<boolean>", tokenizer)
+    return made.withColumnRenamed("key", key)
+
+
 def _words(path: str) -> WordIds:
     return kept(path, lambda: WordIds(path))
 

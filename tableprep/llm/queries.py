@@ -46,6 +46,14 @@ def op10_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_texts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+@query
+def packed_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole conversations under three limits: tokens, segments, and tokens of answers, which alone bear loss."""
+    talks = preferences.conversations(table(spark, folder, "conversations"))
+    examples = packing.conversation_examples(talks, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_examples(examples, "conv_id", "ids", "loss", packing.Limits(4096, 8, 3072), with_ids=False)
+
+
 @query
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))

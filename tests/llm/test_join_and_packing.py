@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tableprep.llm import ngram_join, packing
 from tableprep.llm.components import connected_components
@@ -186,3 +187,43 @@ def test_examples_keep_all_limits_and_are_not_cut(spark):
     assert len(sizes) <= 1.25 * least + 2
     with pytest.raises(ValueError):
         packing.Packer(packing.Limits(0), True)
+
+
+def test_conversations_are_packed_under_three_limits(spark):
+    """Every conversation lies whole in one sequence, coded turn by turn; only answers bear loss; each limit binds somewhere."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    words = "the cat sat on a mat and then it ran away".split()
+    text = lambda k: " ".join(rng.choices(words, k=k))
+    shapes = [(30, 2)] * 40 + [(2, 30)] * 40 + [(1, 1)] * 80 + [(150, 3), (3, 150)]
+    rows = [(i, [("user", text(q)), ("assistant", text(a))]) for i, (q, a) in enumerate(shapes)]
+    rows += [(None, [("user", None), (None, "hi"), None, ("assistant", "")]), (900, []), (901, None), (5, rows[5][1])]
+    talks = spark.createDataFrame(rows, "conv_id bigint, turns array<struct<role:string,text:string>>").withColumn("key", F.lit("x"))
+    examples = packing.conversation_examples(talks, path)
+    coder = Tokenizer.from_file(path)
+    expected = collections.Counter()
+    for key, turns in rows:
+        coded = [([*coder.encode(t[1] or "", add_special_tokens=False).ids, 2], t[0] == "assistant") for t in turns or [] if t]
+        expected[key, tuple(x for c, _ in coded for x in c), tuple(a for c, a in coded for _ in c)] += 1
+    assert collections.Counter((r["conv_id"], tuple(r["ids"]), tuple(r["loss"])) for r in examples.collect()) == expected
+
+    limits = packing.Limits(105, 6, 64)
+    pieces = packing.pack_examples(examples.coalesce(1), "conv_id", "ids", "loss", limits).collect()
+    marks = {(k, ids): loss for k, ids, loss in expected}
+    totals: dict = {}
+    for p in pieces:
+        t = totals.setdefault(p["sequence_id"], [0, 0, 0])
+        whole = marks.get((p["conv_id"], tuple(p["ids"])))
+        assert whole is not None or p["doc_tokens"] > 105  # only what exceeds a sequence is split
+        t[0], t[1] = t[0] + p["length"], t[1] + 1
+        t[2] += sum(whole) if whole else 0
+    assert all(a <= b for t in totals.values() for a, b in zip(t, (105, 6, 64)))
+    assert any(t[1] == 6 for t in totals.values()) and any(t[2] > 50 for t in totals.values()) and any(t[0] > 90 for t in totals.values())
+    assert sum(p["length"] for p in pieces) == sum(len(ids) * n for (_, ids, _), n in expected.items())
+
+
+def test_no_conversations_pack_to_nothing(spark):
+    talks = spark.createDataFrame([], "conv_id bigint, turns array<struct<role:string,text:string>>")
+    examples = packing.conversation_examples(talks, public_tokenizers.path("word_bpe_49k.json"))
+    assert packing.pack_examples(examples, "conv_id", "ids", "loss").count() == 0
