@@ -5,65 +5,111 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tableprep.llm.text import arrow_map, kept, plain_words, utf8
+from tableprep.llm.text import arrow_map, batch, kept, plain_words, utf8
 from tableprep.plans.scratch import materialize
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+# Words of a piece of a long item.
+PIECE = 2_048
 SPAN = "array<struct<start:bigint,end:bigint>>"
 SCAN = f"text string, spots {SPAN}, items array<string>"
 RESULT = f"n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans {SPAN}"
 
 
-def item_windows(text: bytes, size: int) -> list[list[bytes]]:
-    words = plain_words(text)
-    return [words[i : i + size] for i in range(max(1, len(words) - size + 1))] if words else []
-
-
-def _padded(words: list[bytes]) -> str:
-    """One character for each byte, a space around each word: a match cannot begin or end inside a word."""
-    return (b" " + b" ".join(words) + b" ").decode("latin-1")
-
-
-def build(items: list[tuple[str | None, bytes]], size: int) -> ahocorasick.Automaton:
-    """Automaton whose matches carry the window's length in words and the ids of the items that hold it."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        for window in item_windows(text, size):
-            ids = found.setdefault(_padded(window), (len(window), set()))[1]
-            if item is not None:
-                ids.add(item)
-    out = ahocorasick.Automaton()
-    for window, (length, ids) in found.items():
-        out.add_word(window, (length, tuple(ids)))
-    if found:
-        out.make_automaton()
-    return out
+class WindowAutomaton:
+    """Aho-Corasick automaton over coded words, one step a word, of all windows of the texts that were added.
 
+    A window's number leads to its length and to the texts that hold it; nearly all windows have one text, which is a
+    number in an array, so only shared windows cost a list.
+    """
 
-def occurrences(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
+    def __init__(self, size: int):
+        self.size = size
+        self.codes: dict[bytes, int] = {}
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.lengths, self.first, self.more = array("L"), array("L"), {}
+        self.ids: list[list[str]] = []
+
+    def add(self, ids: list[str], words: list[bytes]) -> None:
+        codes, text, size = self.codes, len(self.ids), self.size
+        self.ids.append(ids)
+        # Code 0 stands for all words that no item has.
+        coded = [codes.setdefault(w, len(codes) + 1) for w in words]
+        for i in range(max(1, len(coded) - size + 1) if coded else 0):
+            window = tuple(coded[i : i + size])
+            number = self.trie.get(window, -1)
+            if number < 0:
+                self.trie.add_word(window, len(self.first))
+                self.lengths.append(len(window))
+                self.first.append(text)
+            elif self.first[number] != text and self.more.setdefault(number, [text])[-1] != text:
+                self.more[number].append(text)
+
+    def close(self) -> WindowAutomaton:
+        if len(self.trie):
+            self.trie.make_automaton()
+        return self
+
+    def get_stats(self) -> dict[str, int]:
+        """The trie's figures; ``total_size`` with the codes of words and the arrays of windows, in bytes."""
+        words = sum(len(w) + 110 for w in self.codes)
+        stats = self.trie.get_stats()
+        return {**stats, "total_size": stats["total_size"] + words + 16 * len(self.first) + 120 * len(self.more)}
+
+
+def build(items: list[tuple[str | list[str] | None, bytes]], size: int) -> WindowAutomaton:
+    """Automaton of the windows of ``size`` words of all texts, each with its item id or list of ids."""
+    out = WindowAutomaton(size)
+    for ids, text in items:
+        out.add(ids if isinstance(ids, list) else [] if ids is None else [ids], plain_words(text))
+    return out.close()
+
+
+def occurrences(automaton: WindowAutomaton, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
     """Merged word ranges that windows cover, and the ids of the items found."""
     merged: list[list[int]] = []
-    items: set[str] = set()
-    if not words or not len(automaton):
-        return merged, items
-    text = _padded(words)
-    word = at = 0
-    for end, (length, ids) in automaton.iter(text):
-        word += text.count(" ", at, end)
-        at = end
-        items.update(ids)
+    if not words or not len(automaton.trie):
+        return merged, set()
+    code, lengths, seen = automaton.codes.get, automaton.lengths, set()
+    for last, number in automaton.trie.iter(tuple([code(w, 0) for w in words])):
+        seen.add(number)
         # Matches arrive by their end; a longer one may reach back over earlier ranges.
-        start = word - length
+        start, end = last + 1 - lengths[number], last + 1
         while merged and merged[-1][1] >= start:
             start = min(start, merged.pop()[0])
-        merged.append([start, word])
-    return merged, items
+        merged.append([start, end])
+    texts = {automaton.first[n] for n in seen}.union(*[automaton.more[n] for n in seen if n in automaton.more])
+    return merged, {item for t in texts for item in automaton.ids[t]}
+
+
+def item_pieces(items: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """Distinct word sequences of the items, each with the ids of its items (``ids``, ``words``).
+
+    A long item becomes pieces of ``PIECE`` words that overlap by ``window`` - 1 words, so that each of its windows lies in
+    exactly one piece; equal items, however many, are one row.
+    """
+    step = max(PIECE, window)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, pieces = [], []
+            for item, text in zip(b["item"].to_pylist(), utf8(b["text"])):
+                words = plain_words(text)
+                for at in range(0, max(1, len(words) - window + 1) if words else 0, step):
+                    ids.append(item)
+                    pieces.append(b" ".join(words[at : at + step + window - 1]).decode())
+            yield batch(item=pa.array(ids, pa.string()), words=pa.array(pieces, pa.string()))
+
+    columns = {"item": F.col(f"`{item_id}`").cast("string"), "text": F.col(f"`{item_text}`")}
+    # collect_set leaves out the missing ids, whose pieces stay.
+    return arrow_map(items, columns, work, "item string, words string").groupBy("words").agg(F.collect_set("item").alias("ids"))
 
 
 def original_spans(text: str, ranges: list[list[int]]) -> list[dict[str, int]]:
@@ -86,23 +132,24 @@ def _merge(ranges: list[list[int]]) -> list[list[int]]:
 
 def find_contamination(
     docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, automaton_bytes: int = 1 << 20,
+    window: int = 10, automaton_bytes: int = 6 << 20,
 ) -> DataFrame:
     """Per document (columns ``keep``): words, words inside any occurrence of an item's window, items found, spans.
 
-    A window is ``window`` consecutive words of an item; a shorter item is one window. The items are sent to the
-    executors in parts of about ``automaton_bytes`` of text, whatever their total size; an automaton takes some 440 bytes
-    of memory for each of the text. Each part is scanned in turn, one pass over the texts for a part, whose result is
-    stored, so that a worker never has the automata of two parts; a benchmark of up to one part takes one pass and
-    stores nothing. An item is never split over parts. No row is shuffled.
+    A window is ``window`` consecutive words of an item; a shorter item is one window. Equal items are sent once, with all
+    their ids, long ones in overlapping pieces, so that no item is a whole part by itself. The automaton takes one step for a
+    word and some 75 bytes of memory for each of the item texts; up to ``automaton_bytes`` of text there is one automaton
+    and one pass over the texts, which stores no text. Beyond, parts of that size are scanned in turn, the result stored
+    between them, so that a worker never has the automata of two parts. No text is shuffled.
 
     Null and empty texts have no words and hit nothing; null and empty items have no window; an item without an id
     marks words but is not listed; repeated items count once; repeated documents each give a row; no items or no
     documents give no hits or no rows. Columns of ``docs`` besides ``keep`` and ``text`` are not read.
     """
     spark = docs.sparkSession
-    texts = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text")).filter("text is not null")
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = materialize(item_pieces(items, item_id, item_text, window), "items")
+    size = F.octet_length("words") + F.aggregate("ids", F.lit(0), lambda n, x: n + F.octet_length(x))
+    total = pieces.agg(F.sum(size.cast("bigint"))).first()[0] or 0
     parts = max(1, -(-total // automaton_bytes))
     columns = {f"keep_{i}": c for i, c in enumerate(keep)}
     kept = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()], F.col(f"`{text}`").alias("text"))
@@ -111,8 +158,8 @@ def find_contamination(
     for part in range(parts):
         if part:
             out = materialize(out, "scanned")
-        share = texts.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
-        sent = spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in share])
+        share = pieces.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == part).collect()
+        sent = spark.sparkContext.broadcast([(list(r["ids"]), r["words"].encode()) for r in share])
         last = part == parts - 1
         schema = f"{types}, {RESULT if last else SCAN}"
         name = uuid.uuid4().hex

@@ -5,17 +5,19 @@ from __future__ import annotations
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-DECONTAMINATION = f"""
+_HITS = f"""
 WITH items AS (SELECT item_id::VARCHAR AS item_id, {_PLAIN} AS w FROM benchmark),
 win AS (
   SELECT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
   FROM items, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) WHERE len(w) > 0),
-docs AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_PLAIN} AS w FROM documents),
 ks AS (SELECT DISTINCT k FROM win),
 spots AS (
   SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
   FROM docs, ks, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
-hits AS (SELECT DISTINCT s.r, s.k, s.i, win.item_id FROM spots s JOIN win ON s.k = win.k AND s.g = win.g),
+hits AS (SELECT DISTINCT s.r, s.k, s.i, win.item_id FROM spots s JOIN win ON s.k = win.k AND s.g = win.g)"""
+
+DECONTAMINATION = f"""{_HITS},
 words AS (
   SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, k, i FROM hits)) GROUP BY r),
 found AS (
@@ -25,6 +27,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)"""
 
+_PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CONTAMINATED_SPANS = f"""{_HITS},
+hit_words AS (SELECT DISTINCT r, unnest(range(i, i + k)) AS p FROM hits),
+runs AS (
+  SELECT r, min(p) AS a, max(p) AS b FROM (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS run FROM hit_words) GROUP BY r, run),
+cut AS (SELECT r, regexp_extract_all(t, '{_PIECE}|{_GAP}') AS c FROM docs WHERE r IN (SELECT r FROM runs)),
+pieces AS (SELECT r, unnest(c) AS x, unnest(range(1, len(c) + 1)) AS i FROM cut),
+placed AS (
+  SELECT r, i, regexp_full_match(x, '{_PIECE}') AS word,
+    sum(length(x)) OVER (PARTITION BY r ORDER BY i) AS ends, length(x) AS n FROM pieces),
+words AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY i) AS p, (ends - n)::BIGINT AS starts, ends::BIGINT AS ends FROM placed WHERE word)
+SELECT doc_id, x.starts AS span_start, y.ends AS span_end, (b - a + 1)::BIGINT AS n_words
+FROM runs JOIN docs USING (r) JOIN words x ON x.r = runs.r AND x.p = a JOIN words y ON y.r = runs.r AND y.p = b"""
+
 LINE_FREQUENCY = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,

@@ -26,6 +26,18 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def contaminated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each passage of a document that windows of benchmark items cover, with its offsets in the text."""
+    found = decontamination.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id", "text"])
+    spans = found.select("doc_id", "text", F.inline("spans"))
+    passage = F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    return spans.select(
+        "doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"),
+        F.size(F.split(passage, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("bigint").alias("n_words"),
+    )
+
+
 @query
 def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return line_frequency.line_frequency_filter(table(spark, folder, "documents"))[0]
@@ -142,6 +154,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op3_decontamination"] = oracles.DECONTAMINATION
+ORACLES["contaminated_spans"] = oracles.CONTAMINATED_SPANS
 ORACLES["op4_line_frequency"] = oracles.LINE_FREQUENCY
 ORACLES["op12_displacement"] = oracles.DISPLACEMENT
 ORACLES["op7_ngram_join"] = oracles.NGRAM_JOIN

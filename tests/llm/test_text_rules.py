@@ -17,7 +17,7 @@ from tests.llm.conftest import ODD, rows_of
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op3_decontamination", "op4_line_frequency", "op7_ngram_join", "op8_preferences"])
+@pytest.mark.parametrize("name", ["op3_decontamination", "contaminated_spans", "op4_line_frequency", "op7_ngram_join", "op8_preferences"])
 def test_query_agrees_with_sql(spark, name):
     db = duckdb.connect()
     for t in check.TABLES:
@@ -87,6 +87,29 @@ def test_parts_of_items_bound_a_workers_memory(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_items_are_sent_once_in_pieces_that_keep_every_window(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 7)
+    long = " ".join(f"w{i}" for i in range(50))
+    items = spark.createDataFrame([(1, long), (2, long.upper()), (3, "a b"), (None, "a  b!"), (4, None), (5, "?")], "item_id bigint, text string")
+    rows = decontamination.item_pieces(items, "item_id", "text", 4).collect()
+    pieces = {r["words"]: sorted(r["ids"]) for r in rows}
+    assert len(pieces) == len(rows) and pieces.pop("a b") == ["3"] and set(map(tuple, pieces.values())) == {("1", "2")}
+    words = long.split()
+    windows = [" ".join(p.split()[i : i + 4]) for p in pieces for i in range(len(p.split()) - 3)]
+    assert sorted(windows) == sorted(" ".join(words[i : i + 4]) for i in range(47))
+    docs = spark.createDataFrame([(1, "x " + long + " y"), (2, " ".join(words[5:9]))], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontamination.find_contamination(docs, items, ["doc_id"], window=4).collect()}
+    assert got == {1: (50, ["1", "2"]), 2: (4, ["1", "2"])}
+
+
+def test_a_window_of_many_items_is_one_pattern():
+    shared = "a b c d e f g h i j"
+    automaton = decontamination.build([([str(n)], f"{shared} {n} {shared}".encode()) for n in range(200)], 10)
+    ranges, items = decontamination.occurrences(automaton, f"z {shared} y {shared} z".encode().split())
+    assert ranges == [[1, 11], [12, 22]] and items == {str(n) for n in range(200)}
+    assert len(automaton.trie) == 1 + 200 * 10 and automaton.more[0] == list(range(200))
+
+
 def test_contamination_odd_rows(odd, nothing, spark):
     items = spark.createDataFrame([(1, "one two three"), (2, "x" * 100_000)], "item_id bigint, text string")
     got = {(r["doc_id"], r["n_hit"]) for r in decontamination.find_contamination(odd, items, ["doc_id", "keep_0", "items"]).select("doc_id", "n_hit").collect()}
