@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 from array import array
@@ -16,6 +17,8 @@ from tableprep.llm.text import arrow_map, batch, kept, plain_words, utf8
 from tableprep.plans.scratch import materialize
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+# Code of a word that no item has.
+UNKNOWN = "\0\0"
 # Words of a piece of a long item.
 PIECE = 2_048
 SPAN = "array<struct<start:bigint,end:bigint>>"
@@ -24,52 +27,48 @@ RESULT = f"n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, co
 
 
 class WindowAutomaton:
-    """Aho-Corasick automaton over coded words, one step a word, of all windows of the texts that were added.
+    """Aho-Corasick automaton over coded words of all windows of ``size`` words of the given texts.
 
-    A window's number leads to its length and to the texts that hold it; nearly all windows have one text, which is a
-    number in an array, so only shared windows cost a list.
+    A word is two symbols, the digits of its number to a base near the square root of the vocabulary: a window has few
+    nodes, and no node, the root included, more than some hundreds of children, which the automaton searches one by one.
+    First and second digits differ, so a match cannot begin inside a word. A window's number leads to its length and to
+    the texts that hold it; nearly all have one text, which is a number in an array, so only shared windows cost a list.
     """
 
-    def __init__(self, size: int):
-        self.size = size
-        self.codes: dict[bytes, int] = {}
-        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    def __init__(self, items: list[tuple[list[str], list[bytes]]], size: int):
+        vocabulary = sorted({w for _, words in items for w in words})
+        base = math.isqrt(len(vocabulary)) + 1
+        self.codes = {w: chr(1 + i // base) + chr(1 + base + 1 + i % base) for i, w in enumerate(vocabulary)}
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.lengths, self.first, self.more = array("L"), array("L"), {}
-        self.ids: list[list[str]] = []
-
-    def add(self, ids: list[str], words: list[bytes]) -> None:
-        codes, text, size = self.codes, len(self.ids), self.size
-        self.ids.append(ids)
-        # Code 0 stands for all words that no item has.
-        coded = [codes.setdefault(w, len(codes) + 1) for w in words]
-        for i in range(max(1, len(coded) - size + 1) if coded else 0):
-            window = tuple(coded[i : i + size])
-            number = self.trie.get(window, -1)
-            if number < 0:
-                self.trie.add_word(window, len(self.first))
-                self.lengths.append(len(window))
-                self.first.append(text)
-            elif self.first[number] != text and self.more.setdefault(number, [text])[-1] != text:
-                self.more[number].append(text)
-
-    def close(self) -> WindowAutomaton:
+        self.ids = [ids for ids, _ in items]
+        for text, (_, words) in enumerate(items):
+            coded = "".join([self.codes[w] for w in words])
+            for i in range(max(1, len(words) - size + 1) if words else 0):
+                self._add(coded[2 * i : 2 * (i + size)], text)
         if len(self.trie):
             self.trie.make_automaton()
-        return self
+
+    def _add(self, window: str, text: int) -> None:
+        number = self.trie.get(window, -1)
+        if number < 0:
+            self.trie.add_word(window, len(self.first))
+            self.lengths.append(len(window) // 2)
+            self.first.append(text)
+        elif self.first[number] != text and self.more.setdefault(number, [self.first[number]])[-1] != text:
+            self.more[number].append(text)
 
     def get_stats(self) -> dict[str, int]:
         """The trie's figures; ``total_size`` with the codes of words and the arrays of windows, in bytes."""
-        words = sum(len(w) + 110 for w in self.codes)
+        words = sum(len(w) + 160 for w in self.codes)
         stats = self.trie.get_stats()
         return {**stats, "total_size": stats["total_size"] + words + 16 * len(self.first) + 120 * len(self.more)}
 
 
 def build(items: list[tuple[str | list[str] | None, bytes]], size: int) -> WindowAutomaton:
     """Automaton of the windows of ``size`` words of all texts, each with its item id or list of ids."""
-    out = WindowAutomaton(size)
-    for ids, text in items:
-        out.add(ids if isinstance(ids, list) else [] if ids is None else [ids], plain_words(text))
-    return out.close()
+    listed = lambda ids: ids if isinstance(ids, list) else [] if ids is None else [ids]
+    return WindowAutomaton([(listed(ids), plain_words(text)) for ids, text in items], size)
 
 
 def occurrences(automaton: WindowAutomaton, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
@@ -78,10 +77,11 @@ def occurrences(automaton: WindowAutomaton, words: list[bytes]) -> tuple[list[li
     if not words or not len(automaton.trie):
         return merged, set()
     code, lengths, seen = automaton.codes.get, automaton.lengths, set()
-    for last, number in automaton.trie.iter(tuple([code(w, 0) for w in words])):
+    for last, number in automaton.trie.iter("".join([code(w, UNKNOWN) for w in words])):
         seen.add(number)
         # Matches arrive by their end; a longer one may reach back over earlier ranges.
-        start, end = last + 1 - lengths[number], last + 1
+        end = (last + 1) // 2
+        start = end - lengths[number]
         while merged and merged[-1][1] >= start:
             start = min(start, merged.pop()[0])
         merged.append([start, end])
@@ -132,13 +132,13 @@ def _merge(ranges: list[list[int]]) -> list[list[int]]:
 
 def find_contamination(
     docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, automaton_bytes: int = 6 << 20,
+    window: int = 10, automaton_bytes: int = 3 << 20,
 ) -> DataFrame:
     """Per document (columns ``keep``): words, words inside any occurrence of an item's window, items found, spans.
 
     A window is ``window`` consecutive words of an item; a shorter item is one window. Equal items are sent once, with all
-    their ids, long ones in overlapping pieces, so that no item is a whole part by itself. The automaton takes one step for a
-    word and some 75 bytes of memory for each of the item texts; up to ``automaton_bytes`` of text there is one automaton
+    their ids, long ones in overlapping pieces, so that no item is a whole part by itself. The automaton takes two steps for a
+    word and some 150 bytes of memory for each of the item texts; up to ``automaton_bytes`` of text there is one automaton
     and one pass over the texts, which stores no text. Beyond, parts of that size are scanned in turn, the result stored
     between them, so that a worker never has the automata of two parts. No text is shuffled.
 
