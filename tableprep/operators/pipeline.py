@@ -217,8 +217,9 @@ class FittedPipeline:
     def effects(self, df: DataFrame) -> DataFrame:
         """What each step does to a table: rows, columns, missing, replaced and clipped counts.
 
-        Per-row counters ride along hidden in the rows and are summed once per
-        stretch of steps between two row-removing steps.
+        Per-row counters ride along hidden in the rows and are summed, with the rows,
+        by one job per stretch of steps between two row-removing steps. What such a
+        step leaves is what the next stretch counts.
         """
         spark, current = df.sparkSession, nan_to_null(df)
         counted: list[dict[str, int]] = [{} for _ in self.steps]
@@ -233,15 +234,17 @@ class FittedPipeline:
             for i in range(segment_start, upto):
                 counted[i].setdefault("rows_before", row["rows"])
                 counted[i].setdefault("rows_after", row["rows"])
+            if segment_start:
+                counted[segment_start - 1]["rows_after"] = row["rows"]
+            if upto < len(self.steps):
+                counted[upto]["rows_before"] = row["rows"]
             names.clear()
 
         for i, step in enumerate(self.steps):
             op, width = OPERATIONS[step.operation_type], len(visible(current))
             if step.operation_type == "remove_duplicate_rows":
                 close(current, i)
-                before = counted[i - 1]["rows_after"] if i else current.count()
                 current = self._apply(current.drop(*[n for n in current.columns if n.startswith("__tp_e")]), step)
-                counted[i]["rows_before"], counted[i]["rows_after"] = before, current.count()
                 segment_start = i + 1
             else:
                 hidden = {f"__tp_e{i}_{k}": (i, key, expr) for k, (key, expr) in enumerate(

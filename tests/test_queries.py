@@ -11,6 +11,7 @@ SOME = [
     "missing_tokens_to_null", "target_candidates_coded_customers", "numeric_summary_lineitem", "profile_table_doc_quality",
     "issues_all_scored", "category_shift", "row_overlap", "drift_issues", "recommendations_doc_quality", "dedupe_last",
     "rare_grouping_min_count", "ordinal_many_values", "clip_iqr", "apply_train_test", "step_effects", "csv_na_scan",
+    "changed_columns", "changed_cells", "column_diffs_all_rows",
 ]
 
 
