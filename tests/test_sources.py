@@ -124,3 +124,11 @@ def test_one_file_with_line_breaks_is_read_by_several_tasks(spark, tmp_path, tin
     path = write(tmp_path, "a,b\n" + "".join(f'{i},"x\ny"\n' for i in range(50)))
     records = csv_records(spark, path)
     assert records.count() == 51 and records.select("block").distinct().count() > 2
+
+
+def test_cells_that_span_lines_are_parsed_once(spark, tmp_path, capsys):
+    df = read_csv(spark, write(tmp_path, 'a,"b,; (c)`=",a\n1,"two\nlines",2.5\n,x,n/a\n'))
+    assert df.columns == ["a", "b,; (c)`=", "a.1", "__tp_row"]
+    assert [tuple(r)[:3] for r in df.orderBy("a").collect()] == [(None, "x", None), (1, "two\nlines", 2.5)]
+    df.explain()
+    assert "from_csv" not in capsys.readouterr().out
