@@ -38,3 +38,11 @@ def test_every_query_has_sql_and_entry_runs(spark):
     assert set(QUERIES) == set(ORACLES) <= set(contract.queries())
     rows = contract.entry(spark).collect()
     assert {r["column_name"] for r in rows} >= {"l_orderkey", "l_shipdate"}
+
+
+def test_tasks_do_not_follow_the_number_of_small_splits(spark):
+    df = contract.queries()["csv_multi_line_splits"](spark, "/root/testdata/sf0.1")
+    assert df.first()["several"] and df.count() == 150_000
+    # Each task writes a file; there are 136 splits.
+    assert len(df.inputFiles()) <= 2 * 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
