@@ -149,3 +149,17 @@ def test_sparse_columns_are_sampled_in_row_order(spark):
     df = with_row_order(spark.range(9000).withColumns(columns).repartition(5), "id")
     got = sample_values(df, [*columns, "id"])
     assert all(got[f"c{i}"] == [f"v{i}-{300 + i + 1000 * k}" for k in range(5)] for i in range(30)) and got["id"] == list("01234")
+
+
+def test_each_different_short_text_is_parsed_once(spark, monkeypatch):
+    texts = [f"{d}th of nothing" if d % 9 == 0 else f"2024.0{1 + d % 2}.1{d % 10}" for d in range(300)]
+    df = spark.createDataFrame([(t, "x" * 50 if i else "short", None) for i, t in enumerate(texts)], "day string, late string, empty string")
+    df = with_row_order(df.withColumn("n", F.monotonically_increasing_id()), "n").drop("n")
+    parsed, plain = [], P._text_rates
+    monkeypatch.setattr(P, "_text_rates", lambda c, time, count: parsed.append(str(c)) or plain(c, time, count))
+    rows = {r["column_name"]: r for r in P.profile_records(df)}
+    assert "day" not in "".join(parsed) and any("value" in c for c in parsed)
+    assert rows["day"]["inferred_type"] == "datetime" and rows["day"]["invalid_date_count"] == 34
+    assert (rows["day"]["min_date"], rows["day"]["max_date"]) == ("2024-01-10T00:00:00", "2024-02-19T00:00:00")
+    assert rows["late"]["inferred_type"] == "text" and rows["late"]["max_length"] == 50 and rows["late"]["placeholder_count"] == 0
+    assert rows["empty"]["inferred_type"] == "categorical" and rows["empty"]["missing_count"] == 300
