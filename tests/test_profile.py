@@ -163,3 +163,10 @@ def test_each_different_short_text_is_parsed_once(spark, monkeypatch):
     assert (rows["day"]["min_date"], rows["day"]["max_date"]) == ("2024-01-10T00:00:00", "2024-02-19T00:00:00")
     assert rows["late"]["inferred_type"] == "text" and rows["late"]["max_length"] == 50 and rows["late"]["placeholder_count"] == 0
     assert rows["empty"]["inferred_type"] == "categorical" and rows["empty"]["missing_count"] == 300
+
+
+def test_placeholders_are_counted_from_value_counts(spark):
+    df = spark.createDataFrame([("?",), ("unknown",), (" ? ",), ("x",), (None,)] * 30, "a string")
+    assert set(P._first_pass(df, ["a"], [], {})["a"]) == {"rows", "present", "total_length"}
+    (row,) = P.profile_records(df)
+    assert (row["placeholder_count"], row["unique_count"], row["missing_count"]) == (90, 4, 30)
