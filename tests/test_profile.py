@@ -170,3 +170,24 @@ def test_placeholders_are_counted_from_value_counts(spark):
     assert set(P._first_pass(df, ["a"], [], {})["a"]) == {"rows", "present", "total_length"}
     (row,) = P.profile_records(df)
     assert (row["placeholder_count"], row["unique_count"], row["missing_count"]) == (90, 4, 30)
+
+
+def test_placeholder_counts_alone_need_no_other_statistic(spark, monkeypatch):
+    from workload import QUERIES
+    from workload.tables import dirty_orders
+
+    df = spark.createDataFrame(
+        [("?", " NA\t", 1, "x" * 50), ("unknown", "--", 2, "?"), (" ? ", "n/a", 3, None), (None, None, None, "-" * 45)] * 30,
+        "a string, `b.c` string, n int, late string",
+    ).withColumn("empty", F.lit(None).cast("string"))
+    whole = {r["column_name"]: r for r in P.profile_records(df)}
+    folder = "/root/testdata/sf0.001"
+    orders = P.profile_table(dirty_orders(spark, folder)).filter("placeholder_count > 0").collect()
+    for step in ("value_frequencies", "exact_quantiles", "sample_values"):
+        monkeypatch.setattr(P, step, lambda *a, **k: pytest.fail("more than placeholder counts"))
+    alone = P.placeholder_profile(df).collect()
+    assert [r["placeholder_count"] for r in alone] == [90, 60, 0, 30, 0]
+    assert all(r["placeholder_count"] == whole[r["column_name"]]["placeholder_count"] for r in alone)
+    assert [(r["dataset_role"], r["ordinal"]) for r in alone] == [("single", i) for i in range(5)]
+    (issue,) = QUERIES["issues_placeholder"](spark, folder).collect()
+    assert issue["explanation"].startswith(f"{orders[0]['placeholder_count']} placeholder") and len(orders) == 1
